@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, language, mixing, simhash
+from . import chat, decontam, exact_dedup, html_text, language, lines, mixing, pii, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def _sha256(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    base, added = [k.name for k in pii.BASE], [k.name for k in pii.ADDED]
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        _sha256(pii.joined(*base)).alias("base_sha256"),
+        pii.joined(*base, *added).alias("spans"),
+    )
+
+
+#: A conversation whose texts hold control strings of common templates.
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], talks.schema)
+    return chat.read_back(chat.prefix_target_examples(talks.unionByName(probe)))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_partners", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -48,6 +88,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1,
     "op2_language_id": op2,
+    "op3_substring_dedup": op3,
+    "op4_html_extraction": op4,
+    "op5_pii": op5,
+    "op8_chat_formatting": op8,
+    "op9_line_dedup": op9,
     "op6_decontamination": op6,
     "op7_exact_dedup": op7,
     "op10_simhash_near_dedup": op10,
