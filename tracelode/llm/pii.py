@@ -125,6 +125,23 @@ def _pieces(text: Column, kind: Kind) -> Column:
     )
 
 
+def _span_of(kind: Kind):
+    """The function that turns a piece and the code points before it into a span."""
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["before"]
+        near = F.regexp_like(F.lower(x["near"]), F.lit(CONTEXT[kind.name]))
+        return F.struct(
+            F.lit(kind.name).alias("kind"),
+            start.alias("start"),
+            (start + F.length(x["m"])).alias("end"),
+            F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.3).otherwise(0.0)).alias("score"),
+            kind.confirmed(x["m"], x["near"]).alias("ok"),
+        )
+
+    return span
+
+
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -144,19 +161,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         df = df.withColumn(c + "_at", F.when(F.size(pieces) > 0, sums_before(steps)).otherwise(F.array().cast("array<int>")))
     out = [F.col("doc_id")]
     for k in kinds:
-
-        def span(x: Column, at: Column, k: Kind = k) -> Column:
-            start = at + x["before"]
-            near = F.regexp_like(F.lower(x["near"]), F.lit(CONTEXT[k.name]))
-            return F.struct(
-                F.lit(k.name).alias("kind"),
-                start.alias("start"),
-                (start + F.length(x["m"])).alias("end"),
-                F.least(F.lit(1.0), F.lit(k.score) + F.when(near, 0.3).otherwise(0.0)).alias("score"),
-                k.confirmed(x["m"], x["near"]).alias("ok"),
-            )
-
-        every = F.zip_with(F.col(k.name), F.col(k.name + "_at"), span)
+        every = F.zip_with(F.col(k.name), F.col(k.name + "_at"), _span_of(k))
         good = F.transform(
             F.filter(every, lambda s: s["ok"]), lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"])
         )
