@@ -69,7 +69,7 @@ def occurrences(df: DataFrame, text_col: str, query: str, keep: Sequence[str], i
     ends = F.aggregate(
         F.slice("_pieces", 1, F.size("_pieces") - 1),
         F.array().cast("array<int>"),
-        lambda acc, p: F.array_append(acc, F.coalesce(F.element_at(acc, -1) + 1, F.lit(0)) + F.length(p)),
+        lambda acc, p: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 1, F.lit(0)) + F.length(p)),
     )
     return hit.select(*keep, F.explode(ends).alias("offset"))
 

@@ -145,7 +145,7 @@ def search_occurrences(spark, sf_dir):
     return docs.select("doc_id", search.occurrence_count(F.col("text"), "the").alias("n")).where("n > 0")
 
 
-@query("SELECT doc_id, count(*) AS n, sum(at) AS places FROM (SELECT doc_id, unnest(range(length(text))) AS at, text FROM documents) WHERE substr(lower(text), CAST(at + 1 AS INT), 5) = 'token' GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS n, sum(place) AS places FROM (SELECT doc_id, unnest(range(length(text))) AS place, text FROM documents) WHERE substr(lower(text), CAST(place + 1 AS INT), 5) = 'token' GROUP BY doc_id")
 def search_offsets(spark, sf_dir):
     found = search.occurrences(_t(spark, sf_dir, "documents"), "text", "token", ["doc_id"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("offset").alias("places"))

@@ -13,8 +13,12 @@ from ..operators.profile import with_health
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; ``glob`` picks file names."""
+    """Parquet files of a folder, or one file, as a stream; ``glob`` picks file names."""
     reader = spark.readStream.schema(schema)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    if not status.isDirectory():  # a stream's base has to be a folder
+        path, glob = target.getParent().toString(), target.getName()
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
