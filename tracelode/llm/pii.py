@@ -8,7 +8,9 @@ phone; the method adds iban (mod-97) and ssn (only with a context word).
 Each pattern is written so that matching is linear in the text: a candidate
 starts where the previous one ended (``\G``) or where no character of its own
 class precedes, and runs are possessive.  Both changes leave the leftmost
-matches of the plain patterns as they are.
+matches of the plain patterns as they are.  The card pattern takes whole runs
+of digits only, so it can ask for 13 to 19 of them at once: other runs would
+be dropped by the digit count, with no retry within them.
 
 Positions are code points, from prefix sums over the lengths of the pieces
 between matches.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 # The patterns, in their linear form.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -99,20 +101,29 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def sums_before(steps: Column) -> Column:
-    """For each element the sum of all before it; in two levels, so near linear."""
+def block_sums(steps: Column) -> Column:
+    """For each block of ``_BLOCK`` elements the sum of all before it."""
     blocks = F.sequence(F.lit(0), F.ceil(F.size(steps) / F.lit(float(_BLOCK))).cast("int") - 1)
-    bases = F.aggregate(
+    return F.aggregate(
         blocks,
         F.array(F.lit(0)),
         lambda a, k: F.array_append(a, F.element_at(a, -1) + _sum(F.slice(steps, k * _BLOCK + 1, _BLOCK))),
     )
 
+
+def sums_before(steps: Column, bases: Column) -> Column:
+    """For each element the sum of all before it; near linear.
+
+    Both arguments have to be columns of the input, as a lambda evaluates what
+    it holds for every element.  ``bases`` is named twice, since the optimizer
+    would move an expression that is used once into the lambda.
+    """
+
     def at(_, i: Column) -> Column:
         block = F.floor(i / F.lit(float(_BLOCK))).cast("int")
         return F.element_at(bases, block + 1) + _sum(F.slice(steps, block * _BLOCK + 1, i - block * _BLOCK))
 
-    return F.transform(steps, at)
+    return F.when(F.size(bases) > 0, F.transform(steps, at))
 
 
 def _pieces(text: Column, kind: Kind) -> Column:
@@ -155,10 +166,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     }
     none = F.array().cast("array<struct<m:string,before:int,near:string>>")
     df = df.select("doc_id", *[F.when(some[k.name], _pieces(F.col("text"), k)).otherwise(none).alias(k.name) for k in kinds])
-    for k in kinds:
-        pieces, c = F.col(k.name), k.name
-        steps = F.transform(pieces, lambda x: x["before"] + F.length(x["m"]))
-        df = df.withColumn(c + "_at", F.when(F.size(pieces) > 0, sums_before(steps)).otherwise(F.array().cast("array<int>")))
+    some_found = lambda k, c: F.when(F.size(k.name) > 0, c).otherwise(F.array().cast("array<int>"))
+    df = df.withColumns({k.name + "_by": F.transform(k.name, lambda x: x["before"] + F.length(x["m"])) for k in kinds})
+    df = df.withColumns({k.name + "_base": some_found(k, block_sums(F.col(k.name + "_by"))) for k in kinds})
+    df = df.withColumns({k.name + "_at": some_found(k, sums_before(F.col(k.name + "_by"), F.col(k.name + "_base"))) for k in kinds})
     out = [F.col("doc_id")]
     for k in kinds:
         every = F.zip_with(F.col(k.name), F.col(k.name + "_at"), _span_of(k))
