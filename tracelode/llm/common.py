@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names of helper columns start with this, so that no input column clashes.
-P = "__tl_"
+
+def prefix(df: DataFrame) -> str:
+    """A start for the names of helper columns that no column of ``df`` has."""
+    p = "__tl_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, materialize
+from .common import materialize, prefix
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes from 0x80, and blanks the rest.
 NORMAL = bytes(
@@ -200,9 +200,10 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated rows; columns unchanged."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(P + "id"))
+    p = prefix(docs)
+    leaks = find_leaks(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(p + "id"))
     leaks = materialize(leaks.distinct(), "leaks")
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks[P + "id"]), "left_anti")
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks[p + "id"]), "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

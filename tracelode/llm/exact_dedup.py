@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import P, materialize, scratch
+from .common import materialize, prefix, scratch
 
 #: The white space that equality ignores: code points 0x20 and 0x09 to 0x0D.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -144,11 +144,12 @@ def _regroup(found: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
 
 def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged."""
+    p = prefix(docs)
     keep = exact_groups(docs, id_col, text_col).where("kept")
-    keep = keep.select(F.col("doc_id").alias(P + "id"), F.col("text_sha256").alias(P + "digest")).distinct()
+    keep = keep.select(F.col("doc_id").alias(p + "id"), F.col("text_sha256").alias(p + "digest")).distinct()
     digest = F.sha2(squeezed(docs[text_col]).cast("binary"), 256)
-    joined = docs.withColumn(P + "own", digest).join(
-        keep, F.expr(f"`{id_col}` <=> {P}id AND {P}own = {P}digest")
+    joined = docs.withColumn(p + "own", digest).join(
+        keep, F.expr(f"`{id_col}` <=> {p}id AND {p}own = {p}digest")
     )
-    once = W.partitionBy(P + "id", P + "digest").orderBy(P + "digest")
-    return joined.withColumn(P + "n", F.row_number().over(once)).where(F.col(P + "n") == 1).select(*docs.columns)
+    once = W.partitionBy(p + "id", p + "digest").orderBy(p + "digest")
+    return joined.withColumn(p + "n", F.row_number().over(once)).where(F.col(p + "n") == 1).select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, materialize
+from .common import materialize, prefix
 
 UND = "und"
 
@@ -229,6 +229,7 @@ def identify(
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", min_score: float = 0.25, **how) -> DataFrame:
     """``docs`` without rows of no recognisable language (``und``, or a score under ``min_score``); columns unchanged."""
+    p = prefix(docs)
     out = identify(docs, id_col, **how).where((F.col("lang_pred") == UND) | (F.col("score") < min_score))
-    out = materialize(out.select(F.col("doc_id").alias(P + "id")).distinct(), "language-rejects")
-    return docs.join(out, docs[id_col].eqNullSafe(out[P + "id"]), "left_anti")
+    out = materialize(out.select(F.col("doc_id").alias(p + "id")).distinct(), "language-rejects")
+    return docs.join(out, docs[id_col].eqNullSafe(out[p + "id"]), "left_anti")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import prefix
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -164,20 +164,21 @@ def mix(
 
 def mix_filter(docs: DataFrame, fraction: float = 0.5, temperature: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = 42, max_cells: int = 100_000, **columns) -> DataFrame:
     """The sampled rows of ``docs``; columns unchanged."""
+    p = prefix(docs)
     cells = with_cells(docs, **columns).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     fitted = fit(cells, fraction, temperature, targets, max_cells)
     weights = docs.sparkSession.createDataFrame(
-        fitted, f"{P}source string, {P}lang string, {P}topic string, {P}w double, {P}p double"
+        fitted, f"{p}source string, {p}lang string, {p}topic string, {p}w double, {p}p double"
     )
     label = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     text = F.col(columns.get("text_col", "text")).cast("string")
     own = docs.withColumns(
         {
-            P + "1": label(F.col(columns.get("source_col", "source"))),
-            P + "2": label(F.col(columns.get("lang_col", "lang"))),
-            P + "3": label(topic_of(text) if columns.get("topic") is None else columns["topic"]),
+            p + "1": label(F.col(columns.get("source_col", "source"))),
+            p + "2": label(F.col(columns.get("lang_col", "lang"))),
+            p + "3": label(topic_of(text) if columns.get("topic") is None else columns["topic"]),
         }
     )
-    joined = own.join(F.broadcast(weights), F.expr(f"{P}1 = {P}source AND {P}2 = {P}lang AND {P}3 = {P}topic"))
-    taken = joined.where(uniform(F.col(columns.get("id_col", "doc_id")), seed) < F.col(P + "p"))
+    joined = own.join(F.broadcast(weights), F.expr(f"{p}1 = {p}source AND {p}2 = {p}lang AND {p}3 = {p}topic"))
+    taken = joined.where(uniform(F.col(columns.get("id_col", "doc_id")), seed) < F.col(p + "p"))
     return taken.select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import P, connected_components, materialize
+from .common import connected_components, materialize, prefix
 
 #: Words hashed at a time, so that a very long text needs little memory.
 _CHUNK = 1 << 16
@@ -163,7 +163,8 @@ def near_groups(
 
 def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the least id; columns unchanged."""
-    keep = near_groups(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(P + "id"))
-    joined = docs.join(keep.distinct(), docs[id_col].eqNullSafe(F.col(P + "id")))
-    once = W.partitionBy(P + "id").orderBy(P + "id")
-    return joined.withColumn(P + "n", F.row_number().over(once)).where(F.col(P + "n") == 1).select(*docs.columns)
+    p = prefix(docs)
+    keep = near_groups(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(p + "id"))
+    joined = docs.join(keep.distinct(), docs[id_col].eqNullSafe(F.col(p + "id")))
+    once = W.partitionBy(p + "id").orderBy(p + "id")
+    return joined.withColumn(p + "n", F.row_number().over(once)).where(F.col(p + "n") == 1).select(*docs.columns)
