@@ -98,4 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size,
+                regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+            FROM documents
+        ), g AS (
+            SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size,
+                first_value(doc_id) OVER (PARTITION BY body ORDER BY size DESC, doc_id) AS keep_id
+            FROM t
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+    """,
+}
