@@ -37,14 +37,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage into ``df``: a lost executor costs a re-read.
+    With ``release`` the shuffle files of the write go as soon as it ends,
+    as nothing reads them again, rather than when the driver next collects garbage.
     """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true" if release else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(column: str) -> Column:

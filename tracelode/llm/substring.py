@@ -223,19 +223,19 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, g
     """(id, windows): the numbers of a document's windows that also start in a smaller document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL")
-    picks = materialize(_picks(rows, window, gram), "minimisers")
+    picks = materialize(_picks(rows, window, gram), "minimisers", release=True)
     shared = picks.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     wanted = picks.join(shared.select("m"), "m").groupBy("id").agg(F.collect_list("m").alias("ms"))
     chosen = rows.join(wanted.withColumnRenamed("id", "wid"), F.col("id") == F.col("wid")).select("id", "text", "ms")
-    occurrences = materialize(_super_kmers(chosen, window, gram), "super-kmers")
+    occurrences = materialize(_super_kmers(chosen, window, gram), "super-kmers", release=True)
     distinct = _merged(occurrences)
     crowded = distinct.groupBy("bucket").count().where(F.col("count") > crowd).select(F.col("bucket").alias("cb"))
-    crowded = materialize(crowded, "crowded")
+    crowded = materialize(crowded, "crowded", release=True)
     if not crowded.isEmpty():
         same = F.col("bucket") == F.col("cb")
         calm = occurrences.join(crowded, same, "left_anti")
         packed = occurrences.join(crowded, same, "left_semi")
-        occurrences = materialize(calm.unionByName(_cut(packed, window)), "super-kmers-cut")
+        occurrences = materialize(calm.unionByName(_cut(packed, window)), "super-kmers-cut", release=True)
         distinct = _merged(occurrences)
     firsts = _count(distinct, window).select(F.col("bucket").alias("fb"), F.col("packed").alias("fp"), "firsts")
     lost = occurrences.join(firsts, (F.col("bucket") == F.col("fb")) & (F.col("packed") == F.col("fp"))).select(
@@ -263,7 +263,9 @@ def substring_dedup(
 
     ``kept`` joins the kept words by one space.
     """
-    lost = repeated_windows(docs, id_col, text_col, window, gram, crowd).withColumnRenamed("id", "lid")
+    # written first, so that its shuffles are gone before the texts are dealt
+    lost = materialize(repeated_windows(docs, id_col, text_col, window, gram, crowd), "lost-windows", release=True)
+    lost = lost.withColumnRenamed("id", "lid")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     both = rows.join(lost, F.col("id") == F.col("lid"), "left").select("id", "text", "windows")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
