@@ -1,20 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share line hashes are paired, each pair's lines are aligned by
-patience diff, and aligned common blocks are deleted from the later document
-(the one of the larger id).
-
-Pairing: for a rare line (in at most ``rare`` documents) every earlier holder
-is paired with every later one, at most ``rare * (rare - 1) / 2`` pairs of a
-bounded group.  A more frequent line pairs each holder with its first holder
-only: that is the exact way for the rest, as the first holder has the line
-that is to be kept.  Pairs therefore grow in proportion to the lines, and no
-group of copies is expanded into all its pairs.
-
-Only hashes travel: a line is 16 bytes, a pair two arrays of them.  A block is
-a run of aligned lines that is contiguous in both documents; it is deleted if
-it has at least ``min_lines`` lines, or is a single line of at least
-``min_words`` words.  Blank lines belong to the run around them.
+Documents that share a block are paired, each pair's lines are aligned by
+patience diff, and common blocks are deleted from the later document (the one
+of the larger id).  A block is a run of lines that is contiguous in both
+documents; it is deleted if it has at least ``min_lines`` lines, or is a line
+of at least ``min_words`` words.  Blank lines belong to the run around them.
+Blocks that the alignment leaves out, as they stand in another order or more
+than once, are then found by their windows and deleted too.
+
+Pairing: every block is made of windows, which are ``min_lines`` adjacent lines
+or one line of ``min_words`` words.  Each holder of a window is paired with the
+window's first holder.  That is exact, in however many documents a block is:
+the first holder has the window, and a pair deletes all windows it shares, so
+the result is that of all pairs.  Pairs grow in proportion to the windows, and
+no group of copies is expanded into all its pairs.
+
+Only hashes travel: a line or window is 16 bytes, a pair two arrays of them.
 
 Defined results: a null or empty text has no lines; lines are compared
 without outer white space; a row with a null id is neither cut nor a reason to
@@ -83,8 +84,14 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def windows(lines: list[bytes], words: list[int], min_lines: int, min_words: int) -> set[bytes]:
+    """The keys of the windows of hashed lines."""
+    many = (b"".join(lines[k : k + min_lines]) for k in range(len(lines) - min_lines + 1))
+    return {xxhash.xxh3_128_digest(m) for m in many} | {h for h, n in zip(lines, words, strict=True) if n >= min_words}
+
+
 def common_blocks(earlier: list[bytes], later: list[bytes], words: list[int], min_lines: int, min_words: int) -> list[tuple[int, int]]:
-    """Ranges [start, end) of the later document's lines that aligned blocks cover.
+    """Ranges [start, end) of the later document's lines that common blocks cover.
 
     Takes hashes of lines that are not blank; ``words``: of the later document's lines.
     """
@@ -92,10 +99,19 @@ def common_blocks(earlier: list[bytes], later: list[bytes], words: list[int], mi
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
             s, e = run[0][1], run[-1][1] + 1
-            if e - s >= min_lines or words[s] >= min_words:
+            if e - s >= min_lines:
                 out.append((s, e))
+            else:
+                out += [(k, k + 1) for k in range(s, e) if words[k] >= min_words]
             run = []
         run.append((i, j))
+    done = {k for s, e in out for k in range(s, e)}
+    if len(done) < len(later):
+        # blocks out of order or repeated, which no alignment holds
+        runs = {tuple(earlier[k : k + min_lines]) for k in range(len(earlier) - min_lines + 1)}
+        out += [(k, k + min_lines) for k in range(len(later) - min_lines + 1) if tuple(later[k : k + min_lines]) in runs]
+        held = set(earlier)
+        out += [(k, k + 1) for k, h in enumerate(later) if k not in done and words[k] >= min_words and h in held]
     return out
 
 
@@ -117,26 +133,30 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, lines array<binary>, words array<int>")
 
 
-def overlapping_pairs(sketches: DataFrame, rare: int) -> DataFrame:
+def overlapping_pairs(sketches: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     """(first, later): documents to align."""
-    held = sketches.select("id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
-    stats = held.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    known = materialize(held.join(stats, "line"), "shared-lines")
-    stars = known.where("id > first").select("first", F.col("id").alias("later"))
-    few = known.where((F.col("df") > 2) & (F.col("df") <= rare)).select("line", "id")
-    # groups of at most ``rare`` documents
-    groups = few.groupBy("line").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    among = groups.select(F.explode(F.slice("ids", 2, rare)).alias("later"), "ids").select(
-        F.explode(F.filter("ids", lambda x: x < F.col("later"))).alias("first"), "later"
-    )
-    return stars.union(among).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                keys, owner = [], []
+                for k, (lines, words) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                    mine = windows(lines.as_py(), words.as_py(), min_lines, min_words)
+                    keys += mine
+                    owner += [k] * len(mine)
+                yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary())], ["id", "window"])
+
+    kind = sketches.schema["id"].dataType.simpleString()
+    held = sketches.select("id", "lines", "words").mapInArrow(run, f"id {kind}, window binary")
+    stats = held.groupBy("window").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df")
+    return held.join(stats, "window").where("id > first").select("first", F.col("id").alias("later")).distinct()
 
 
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rare: int = 8,
     min_lines: int = 2,
     min_words: int = 8,
 ) -> DataFrame:
@@ -145,7 +165,7 @@ def line_dedup(
     kind = rows.schema["id"].dataType.simpleString()
     named = rows.where("id IS NOT NULL AND text IS NOT NULL")
     sketches = materialize(_sketches(named).dropDuplicates(["id"]), "line-sketches")
-    pairs = overlapping_pairs(sketches, rare)
+    pairs = overlapping_pairs(sketches, min_lines, min_words)
     early = sketches.select(F.col("id").alias("eid"), F.col("lines").alias("early"))
     late = sketches.select(F.col("id").alias("lid"), F.col("lines").alias("late"), "words")
     aligned = (
@@ -161,7 +181,7 @@ def line_dedup(
                 gone = []
                 for e, lt, w in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
                     blocks = common_blocks(e.as_py(), lt.as_py(), w.as_py(), min_lines, min_words)
-                    gone.append([k for s, t in blocks for k in range(s, t)])
+                    gone.append(sorted({k for s, t in blocks for k in range(s, t)}))
                 yield pa.record_batch([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["id", "gone"])
 
     cuts = aligned.mapInArrow(align, f"id {kind}, gone array<int>").where(F.size("gone") > 0)
