@@ -61,6 +61,11 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """What stands for a text in joins: its digest; a null text has that of the empty one."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component: the least node.
 

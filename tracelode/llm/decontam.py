@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix
+from .common import materialize, prefix, text_key
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes from 0x80, and blanks the rest.
 NORMAL = bytes(
@@ -199,11 +199,16 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows; columns unchanged."""
+    """``docs`` without contaminated rows; columns unchanged.
+
+    Each row is judged by its own text, whatever its id: rows with null or
+    repeated ids stay or go one by one, and repeated rows share their fate.
+    """
     p = prefix(docs)
-    leaks = find_leaks(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(p + "id"))
-    leaks = materialize(leaks.distinct(), "leaks")
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks[p + "id"]), "left_anti")
+    keyed = docs.select(text_key(docs[text_col]).alias(p + "key"), docs[text_col].alias(p + "text"))
+    leaks = find_leaks(keyed, benchmark, p + "key", p + "text").where("contaminated")
+    leaks = materialize(leaks.select(F.col("doc_id").alias(p + "key")).distinct(), "leaks")
+    return docs.join(leaks, text_key(docs[text_col]) == leaks[p + "key"], "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

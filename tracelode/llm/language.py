@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix
+from .common import materialize, prefix, text_key
 
 UND = "und"
 
@@ -191,6 +191,19 @@ def training_sample(
     return out
 
 
+def learn(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    learn_from: Column | None = None,
+    per_language: int = 500,
+) -> Model | None:
+    """The model of a sample of the labelled rows; ``learn_from``: rows that may be learned from."""
+    sample = training_sample(docs, id_col, text_col, lang_col, F.lit(True) if learn_from is None else learn_from, per_language)
+    return train([t for _, t in sample], [lang for lang, _ in sample])
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -203,8 +216,11 @@ def identify(
 
     ``learn_from`` says which rows may be learned from (default: all with a label).
     """
-    sample = training_sample(docs, id_col, text_col, lang_col, F.lit(True) if learn_from is None else learn_from, per_language)
-    model = train([t for _, t in sample], [lang for lang, _ in sample])
+    return predict(docs, learn(docs, id_col, text_col, lang_col, learn_from, per_language), id_col, text_col)
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``identify`` with a given model."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +243,15 @@ def identify(
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def language_filter(docs: DataFrame, id_col: str = "doc_id", min_score: float = 0.25, **how) -> DataFrame:
-    """``docs`` without rows of no recognisable language (``und``, or a score under ``min_score``); columns unchanged."""
+def language_filter(docs: DataFrame, id_col: str = "doc_id", min_score: float = 0.25, text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without rows of no recognisable language (``und``, or a score under ``min_score``); columns unchanged.
+
+    Each row is judged by its own text, whatever its id: rows with null or
+    repeated ids stay or go one by one, and repeated rows share their fate.
+    """
     p = prefix(docs)
-    out = identify(docs, id_col, **how).where((F.col("lang_pred") == UND) | (F.col("score") < min_score))
-    out = materialize(out.select(F.col("doc_id").alias(p + "id")).distinct(), "language-rejects")
-    return docs.join(out, docs[id_col].eqNullSafe(out[p + "id"]), "left_anti")
+    keyed = docs.select(text_key(docs[text_col]).alias(p + "key"), docs[text_col].alias(p + "text"))
+    out = predict(keyed, learn(docs, id_col, text_col, **how), p + "key", p + "text")
+    out = out.where((F.col("lang_pred") == UND) | (F.col("score") < min_score))
+    out = materialize(out.select(F.col("doc_id").alias(p + "key")).distinct(), "language-rejects")
+    return docs.join(out, text_key(docs[text_col]) == out[p + "key"], "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, prefix
+from .common import connected_components, materialize, prefix, text_key
 
 #: Words hashed at a time, so that a very long text needs little memory.
 _CHUNK = 1 << 16
@@ -162,9 +162,18 @@ def near_groups(
 
 
 def near_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the least id; columns unchanged."""
+    """``docs`` with one row of each near-duplicate component; columns unchanged.
+
+    It is the row of the least id, null ids last; of several texts with that
+    id in the component the one of the least digest, and one of repeated rows.
+    Components, not ids, decide: rows of one id (or none) that lie in different
+    components do not take each other's place.
+    """
     p = prefix(docs)
-    keep = near_groups(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(p + "id"))
-    joined = docs.join(keep.distinct(), docs[id_col].eqNullSafe(F.col(p + "id")))
-    once = W.partitionBy(p + "id").orderBy(p + "id")
+    own = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"))
+    # a component is named by its least (no_id, id, key)
+    keep = near_groups(docs.select(own.alias("id"), docs[text_col].alias("text")), "id", "text").select("component_id").distinct()
+    keep = keep.select(F.col("component_id.id").alias(p + "id"), F.col("component_id.key").alias(p + "key"))
+    joined = docs.join(keep, docs[id_col].eqNullSafe(keep[p + "id"]) & (text_key(docs[text_col]) == keep[p + "key"]))
+    once = W.partitionBy(p + "id", p + "key").orderBy(p + "key")
     return joined.withColumn(p + "n", F.row_number().over(once)).where(F.col(p + "n") == 1).select(*docs.columns)
