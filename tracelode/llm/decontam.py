@@ -8,8 +8,8 @@ to code point offsets of the original text.
 
 The automaton is broadcast only while the benchmark's texts stay within
 ``max_block_bytes``.  A larger benchmark is dealt into blocks below that size;
-the documents are scanned once for each block and the hits merged, so no item
-is ever left out.
+the documents are scanned once for each block and the hits merged row by row,
+so no item is ever left out and the results are those of one block.
 
 Defined results: a null text has no words (n_words 0, never contaminated); an
 item without words has no window; an item with a null id counts as item "";
@@ -157,6 +157,10 @@ def find_leaks(
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a block holds about half the bound, as items differ in length
     blocks = 1 + 2 * int(size) // max_block_bytes if size > max_block_bytes else 1
+    if blocks > 1:
+        # a number for each row, written so that every scan sees the same one
+        numbered = rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text")
+        rows = materialize(numbered, "leak-rows")
     parts = []
     for k in range(blocks):
         mine = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct()
@@ -164,7 +168,7 @@ def find_leaks(
     if blocks == 1:
         found = parts[0]
     else:
-        found = _merged(parts)
+        found = _merged(parts).withColumn("id", F.col("id.id"))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "items", F.col("chars").alias("spans")
@@ -172,7 +176,7 @@ def find_leaks(
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document out of its rows for each block of items."""
+    """One row per document row out of its rows for each block of items; ``id`` holds the row's number."""
 
     def union_of(column: str):
         every = F.array_sort(F.flatten(F.collect_list(column)))
