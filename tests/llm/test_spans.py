@@ -1,0 +1,34 @@
+"""IBANs in sentences, and context words before an earlier match."""
+
+from tracelode.llm import pii
+
+IBANS = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+AFTER = ["", " Please pay", " AND more", " 2024", " A fine", ".", "\nNext", " GB"]
+
+
+def test_ibans_are_found_whatever_follows(spark):
+    cases = [(i, a, f"café to {i}{a}") for i in IBANS for a in AFTER]
+    cases.append((IBANS[1], "", "Ref BE12 3456 " + IBANS[1]))  # a wrong proposal ends within the right one
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(cases)], "doc_id int, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.iban] for r in pii.find_spans(docs).collect()}
+    assert got == {k: [(t.index(i), t.index(i) + len(i))] for k, (i, _, t) in enumerate(cases)}
+
+
+def test_not_ibans(spark):
+    texts = ["DE89370400440532013001", "DE89370400440532013000Please", "xDE89370400440532013000", "ZZ89370400440532013000", "DE8937040044053201300"]
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert not any(r.iban for r in got)
+
+
+def test_context_is_the_text_before_a_span(spark):
+    texts = [
+        "SSN 123-45-6789 and 987-65-4321",
+        "SSN 123-45-6789 " + "x" * 40 + " 987-65-4321",
+        "ssn " + " ".join(f"12{k}-45-6789" for k in range(6)),
+        "mail a@b.co,c@d.co",
+        "987-65-4321",
+    ]
+    got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [len(got[k].ssn) for k in range(5)] == [2, 1, 4, 0, 0]
+    assert [s.start for s in got[0].ssn] == [4, 20]
+    assert [s.score for s in got[3].email] == [1.0, 1.0]

@@ -12,8 +12,14 @@ matches of the plain patterns as they are.  The card pattern takes whole runs
 of digits only, so it can ask for 13 to 19 of them at once: other runs would
 be dropped by the digit count, with no retry within them.
 
+An IBAN is proposed at the length of its country (ISO 13616), so what follows
+it is not taken in; a code outside that registry has no valid length.  Its
+pattern consumes the first four code points only and looks ahead for the rest,
+so a proposal that mod-97 rejects hides no other.
+
 Positions are code points, from prefix sums over the lengths of the pieces
-between matches.
+between matches.  The code points near a span are those of the text before it,
+earlier matches included.
 
 Defined results: a null text counts as empty; empty texts have no spans; a
 very long text is searched whole; repeated rows get equal results; a null id
@@ -32,7 +38,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# The countries of each IBAN length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?=((?:{_BY_LENGTH})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -57,6 +71,8 @@ class Kind:
     pattern: str
     quick: str
     score: float
+    #: The group that is the span; group 0 is what the pattern consumes.
+    group: int = 0
 
     def confirmed(self, m: Column, near: Column) -> Column:
         digits = F.regexp_replace(m, "[^0-9]", "")
@@ -79,7 +95,7 @@ BASE = (
     Kind("card", CARD, "", 0.8),
     Kind("phone", PHONE, "+", 0.5),
 )
-ADDED = (Kind("iban", IBAN, "", 0.9), Kind("ssn", SSN, "-", 0.3))
+ADDED = (Kind("iban", IBAN, "", 0.9, 1), Kind("ssn", SSN, "-", 0.3))
 
 
 def mod97(iban: Column) -> Column:
@@ -127,27 +143,53 @@ def sums_before(steps: Column, bases: Column) -> Column:
 
 
 def _pieces(text: Column, kind: Kind) -> Column:
-    """array<struct<m, before, near>> of the pattern's matches: text, code points since the last match, what is near."""
-    between = F.slice(F.split(text, kind.pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))))
-    return F.zip_with(
-        between,
-        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
-        lambda p, m: F.struct(m.alias("m"), F.length(p).alias("before"), F.right(p, F.lit(NEAR)).alias("near")),
+    """array<struct<m, before, step, tail, head>> of the pattern's matches.
+
+    m: the span; before: code points since the last match; step: those and what
+    is consumed; tail and head: the last ``NEAR`` of either.
+    """
+    taken = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    between = F.slice(F.split(text, kind.pattern, -1), 1, F.size(taken))
+    both = F.arrays_zip(between.alias("p"), taken.alias("c"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)).alias("m"))
+    return F.transform(
+        both,
+        lambda x: F.struct(
+            x["m"].alias("m"),
+            F.length(x["p"]).alias("before"),
+            (F.length(x["p"]) + F.length(x["c"])).alias("step"),
+            F.right(x["p"], F.lit(NEAR)).alias("tail"),
+            F.right(x["c"], F.lit(NEAR)).alias("head"),
+        ),
     )
 
 
+#: Every pattern consumes four code points at least, so so many matches before a span hold the ``NEAR`` before it.
+_BACK = NEAR // 4
+
+
+def _near(pieces: Column) -> Column:
+    """For each piece the ``NEAR`` code points before its match; ``pieces`` has to be a column of the input."""
+
+    def at(x: Column, i: Column) -> Column:
+        back = F.least(i, F.lit(_BACK))
+        earlier = F.transform(F.slice(pieces, i - back + 1, back), lambda y: F.concat(y["tail"], y["head"]))
+        return F.right(F.concat(F.array_join(earlier, ""), x["tail"]), F.lit(NEAR))
+
+    return F.transform(pieces, at)
+
+
 def _span_of(kind: Kind):
     """The function that turns a piece and the code points before it into a span."""
 
-    def span(x: Column, at: Column) -> Column:
-        start = at + x["before"]
-        near = F.regexp_like(F.lower(x["near"]), F.lit(CONTEXT[kind.name]))
+    def span(x: Column, place: Column) -> Column:
+        start = place["at"] + x["before"]
+        near = F.regexp_like(F.lower(place["near"]), F.lit(CONTEXT[kind.name]))
         return F.struct(
             F.lit(kind.name).alias("kind"),
             start.alias("start"),
             (start + F.length(x["m"])).alias("end"),
             F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.3).otherwise(0.0)).alias("score"),
-            kind.confirmed(x["m"], x["near"]).alias("ok"),
+            kind.confirmed(x["m"], place["near"]).alias("ok"),
         )
 
     return span
@@ -164,15 +206,16 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         k.name: (F.contains("text", F.lit(k.quick)) if k.quick else F.lit(True)) & F.regexp_like("text", F.lit(k.pattern))
         for k in kinds
     }
-    none = F.array().cast("array<struct<m:string,before:int,near:string>>")
+    none = F.array().cast("array<struct<m:string,before:int,step:int,tail:string,head:string>>")
     df = df.select("doc_id", *[F.when(some[k.name], _pieces(F.col("text"), k)).otherwise(none).alias(k.name) for k in kinds])
     some_found = lambda k, c: F.when(F.size(k.name) > 0, c).otherwise(F.array().cast("array<int>"))
-    df = df.withColumns({k.name + "_by": F.transform(k.name, lambda x: x["before"] + F.length(x["m"])) for k in kinds})
+    df = df.withColumns({k.name + "_by": F.transform(k.name, lambda x: x["step"]) for k in kinds})
     df = df.withColumns({k.name + "_base": some_found(k, block_sums(F.col(k.name + "_by"))) for k in kinds})
     df = df.withColumns({k.name + "_at": some_found(k, sums_before(F.col(k.name + "_by"), F.col(k.name + "_base"))) for k in kinds})
+    df = df.withColumns({k.name + "_near": F.when(F.size(k.name) > 0, _near(F.col(k.name))) for k in kinds})
     out = [F.col("doc_id")]
     for k in kinds:
-        every = F.zip_with(F.col(k.name), F.col(k.name + "_at"), _span_of(k))
+        every = F.zip_with(F.col(k.name), F.arrays_zip(F.col(k.name + "_at").alias("at"), F.col(k.name + "_near").alias("near")), _span_of(k))
         good = F.transform(
             F.filter(every, lambda s: s["ok"]), lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"])
         )
