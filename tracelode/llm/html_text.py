@@ -58,7 +58,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, name and value, as browsers read them: the next starts where it ends.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[^A-Za-z]+")
 
 
@@ -78,15 +79,19 @@ class Line:
 def _is_noise(name: str, attributes: str) -> bool:
     if name in BOILERPLATE:
         return True
+    seen = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if key.lower() in ("hidden", "aria-hidden"):
-            if key.lower() == "hidden" or value == "true":
+        key, value = key.lower(), "".join(values).lower()
+        if key in seen:  # of a repeated attribute the first holds
+            continue
+        seen.add(key)
+        if key in ("hidden", "aria-hidden"):
+            if key == "hidden" or value == "true":
                 return True
-        elif key.lower() == "role":
+        elif key == "role":
             if value in ROLES:
                 return True
-        else:
+        elif key in ("class", "id"):
             for token in value.split():
                 words = {w.lower() for w in _WORD.split(token)}
                 if words & MARKS and not words & OWN:
