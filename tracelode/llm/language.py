@@ -246,6 +246,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def language_filter(docs: DataFrame, id_col: str = "doc_id", min_score: float = 0.25, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without rows of no recognisable language (``und``, or a score under ``min_score``); columns unchanged.
 
+    No winner's score is under 0.25, so the default rejects ``und`` only: letter
+    junk and texts in languages never learned stay.
     Each row is judged by its own text, whatever its id: rows with null or
     repeated ids stay or go one by one, and repeated rows share their fate.
     """
