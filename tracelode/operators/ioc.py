@@ -101,16 +101,19 @@ def frequencies(found: DataFrame, file_col: str) -> DataFrame:
 
 
 def rank(per_file: DataFrame, geo: DataFrame | None = None, top_files: int = 50) -> DataFrame:
-    """(ip, count, is_noise, top_files[, country_code, country_name]) by count.
+    """(ip, count, is_noise, n_files, top_files[, country_code, country_name]) by count.
 
-    An address is noise if all its hits are.  ``geo`` has range_start,
+    An address is noise if all its hits are.  ``n_files`` counts all its files
+    that have a name, also those past ``top_files``.  ``geo`` has range_start,
     range_end, code and name; private addresses have no country.  The top files
     are picked by a ranked window, so no address's files are gathered whole.
     """
     from pyspark.sql import Window as W
 
     totals = per_file.groupBy("ip").agg(
-        F.sum("hits").alias("count"), (F.sum("hits") == F.sum("noise_hits")).alias("is_noise")
+        F.sum("hits").alias("count"),
+        (F.sum("hits") == F.sum("noise_hits")).alias("is_noise"),
+        F.count("file").alias("n_files"),
     )
     place = F.row_number().over(W.partitionBy("ip").orderBy(F.desc("hits"), "file"))
     best = (

@@ -387,7 +387,7 @@ def ip_extract(spark, sf_dir):
 def ip_rank(spark, sf_dir):
     found = ioc.extract_ips(_t(spark, sf_dir, "documents"), "text", ["source"], "both")
     ranked = ioc.rank(ioc.frequencies(found, "source"), _geo(spark))
-    return ranked.select("ip", "count", F.size("top_files").cast("long").alias("n_files"))
+    return ranked.select("ip", "count", "n_files")
 
 
 @query(f"SELECT count(*) AS total_unique, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_hits, count(*) > 1000 AS truncated FROM (SELECT ip, count(*) AS n FROM ({_IPS}) GROUP BY ip)")
