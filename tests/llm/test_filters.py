@@ -39,3 +39,15 @@ def test_decontaminate_judges_each_row(spark, i):
     rows = [(i, "x " + PASSAGE), (i, FIRST), (i, SECOND), (i, SECOND), (i, None), (1, PASSAGE)]
     want = [(i, FIRST), (i, SECOND), (i, SECOND), (i, None)]
     assert texts(decontam.decontaminate(table(spark, rows), bench)) == sorted(want, key=str)
+
+
+def test_decontaminate_drops_rows_with_any_full_window(spark):
+    """A passage of a long text is far below the share of a contaminated one; a short item within it does not count."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(1, passage), (2, "only four words here")], "item_id bigint, text string")
+    long = " ".join(f"own{k}" for k in range(3000))
+    rows = [
+        (1, f"{long} W7, w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 {long}"), (2, f"{long} w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 {long}"),
+        (3, f"{long} only four words here"), (4, "Only four words here!"), (5, long),
+    ]
+    assert [i for i, _ in texts(decontam.decontaminate(table(spark, rows), bench))] == [2, 3, 5]
