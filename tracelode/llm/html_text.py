@@ -4,20 +4,19 @@ The markup is stripped into lines, one for each block of the page, each with
 what is known of it: its text length, how much of that is link text, whether
 it lies inside an article region, and whether an enclosing element marks it as
 boilerplate (menu, header, footer, sidebar, notice, advert, form, script,
-style, comments).  Boilerplate and link text weigh nothing.  Weights are
-summed over a window of ``window`` lines; a surge is where the sums rise to
-the threshold, the dive where they fall to nothing, and the lines between that
-have a weight of their own are the text.
-
-Where the page declares its article, only its lines have weight and any
-weight is a surge, so short paragraphs stay.  Elsewhere a region must reach
-``threshold`` characters within a window to count.
+style, comments).  Boilerplate goes with the markup.  The text lengths of the
+other lines, weighted by the evidence of links and article regions, are summed
+over a sliding window of ``window`` lines; a surge is where the sums rise to
+the threshold, a dive where they fall to nothing, and the text between them is
+kept.
 
 Defined results: a null or empty page has empty text; broken markup is read
-the way browsers recover (unclosed blocks end where the next begins; stray
-end tags are ignored); a very long page is read whole; repeated rows get equal
-results; a null id or url stays null; other columns are ignored; an empty
-table gives an empty result.
+the way browsers recover (unclosed blocks end where the next begins; stray end
+tags are ignored; a value whose quote never closes ends with its tag; a tag
+that never ends is text); a very long page is read whole, in linear time; a
+page of short lines only has those of its fullest windows; repeated rows get
+equal results; a null id or url stays null; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,23 +53,25 @@ OWN = frozenset("article body content entry main post story text title".split())
 #: Elements that an opening tag of the key ends.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S,
-)
+#: An opening or closing tag whose quoted values close. A value that does not close ends with the tag.
+_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+#: One where no such tag ends.
+_PLAIN_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)([^>]*+)>")
 #: One attribute, name and value, as browsers read them: the next starts where it ends.
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[^A-Za-z]+")
+#: How many times as much a line inside a declared article counts.
+REGION = 4
 
 
 @dataclass
 class Line:
-    """One block of a page."""
+    """One block of a page: its text and what its elements say of it."""
 
+    region: bool
+    noise: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    region: bool = False
-    noise: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -99,106 +100,166 @@ def _is_noise(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[Line]:
-    """The blocks of a page in order, without markup."""
-    out = [Line()]
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, region: each with what encloses it
-
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
-
-    def fresh() -> None:
-        if out[-1].parts:
-            out.append(Line())
-        out[-1].noise, out[-1].region = state()
-
-    def say(raw: str) -> None:
-        if raw:
-            text = html.unescape(raw)
-            if (out[-1].noise, out[-1].region) != state():
-                fresh()
-            out[-1].parts.append(text)
-            if any(s[0] == "a" for s in stack):
-                out[-1].linked += len("".join(text.split()))
-
-    def close(upto: int) -> None:
-        block = any(s[0] in BLOCKS for s in stack[upto:])
-        del stack[upto:]
-        if block:
-            fresh()
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                # an inline end tag does not end the blocks around it
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
-                    break
-            continue
-        if name == "br":
-            say(" ")
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            tail = page.find(">", at)
-            at = tail + 1 if end and tail >= 0 else len(page)
-            continue
-        if name in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in ENDED_BY.get(name, ()):
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS and stack[k][0] not in ENDED_BY.get(name, ()):
-                    break
-        noise, region = state()
-        noise = noise or _is_noise(name, m[3])
+class _Page:
+    """The open elements and the lines of a page that is read from front to back."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, noise, region: each with what encloses it
+        self.at: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+        self.blocks: list[int] = []  # where its block elements are
+        self.out = [Line(False, False)]
+
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def fresh(self) -> None:
+        noise, region = self.state()
+        if self.out[-1].parts:
+            self.out.append(Line(region, noise))
+        else:
+            self.out[-1].region, self.out[-1].noise = region, noise
+
+    def say(self, raw: str) -> None:
+        if not raw:
+            return
+        if (self.out[-1].noise, self.out[-1].region) != self.state():
+            self.fresh()
+        text = html.unescape(raw)
+        self.out[-1].parts.append(text)
+        if self.at.get("a"):
+            self.out[-1].linked += len("".join(text.split()))
+
+    def open(self, name: str, attributes: str) -> None:
+        if name in BLOCKS and self.blocks:
+            top = self.stack[self.blocks[-1]][0]
+            if top == "p" or top in ENDED_BY.get(name, ()):
+                self.close(self.blocks[-1])
+        noise, region = self.state()
+        noise = noise or _is_noise(name, attributes)
         region = region or name in REGIONS
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, noise, region))
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            self.at.setdefault(name, []).append(len(self.stack))
+            if name in BLOCKS:
+                self.blocks.append(len(self.stack))
+            self.stack.append((name, noise, region))
         if name in BLOCKS:
-            fresh()
-    say(page[at:])
-    return out
+            self.fresh()
+
+    def end(self, name: str) -> None:
+        places = self.at.get(name)
+        # an inline end tag does not end the blocks around it
+        if places and (name in BLOCKS or not self.blocks or places[-1] > self.blocks[-1]):
+            self.close(places[-1])
+
+    def close(self, upto: int) -> None:
+        block = False
+        while len(self.stack) > upto:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+                block = True
+        if block:
+            self.fresh()
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks of a page in order, without markup; time linear in the page."""
+    into, at, tag = _Page(), 0, _TAG
+    missing: set[str] = set()  # what does not occur any more
+
+    def past(mark: str, start: int) -> int:
+        """Behind the next ``mark``, or the end of the page."""
+        k = -1 if mark in missing else page.find(mark, start)
+        if k < 0:
+            missing.add(mark)
+        return len(page) if k < 0 else k + len(mark)
+
+    while (lt := page.find("<", at)) >= 0:
+        into.say(page[at:lt])
+        at = lt + 1
+        head = page[lt + 1 : lt + 9]
+        if head.startswith("!--"):
+            at = past("-->", lt + 4)
+        elif head == "![CDATA[":
+            at = past("]]>", lt + 9)
+            into.say(html.escape(page[lt + 9 : at].removesuffix("]]>")))
+        elif head[:1] in ("!", "?"):
+            at = past(">", lt + 2)
+        elif not re.match("/?[A-Za-z]", head):
+            into.say("<")
+        else:
+            m = None if ">" in missing else tag.match(page, lt)
+            if not m and tag is _TAG:
+                # no tag ends outside quotes from here on: from now on one ends at the next >
+                tag = _PLAIN_TAG
+                m = tag.match(page, lt)
+            if not m:
+                missing.add(">")
+                into.say("<")
+                continue
+            at, name = m.end(), m[1].lower()
+            if head[0] == "/":
+                into.end(name)
+            elif name == "br":
+                into.say(" ")
+            elif name in RAW:
+                end = None if "</" + name in missing else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                if not end:
+                    missing.add("</" + name)
+                at = past(">", end.end()) if end else len(page)
+            else:
+                into.open(name, m[2])
+    into.say(page[at:])
+    return into.out
+
+
+def line_weights(lines: list[Line], texts: list[str], window: int) -> np.ndarray:
+    """What each line counts in the distribution, with the tags as evidence.
+
+    A line counts by its characters, links left out (a line that is mostly
+    links counts nothing).  Where the page declares an article, the article's
+    lines count ``REGION`` times, links too, and a line elsewhere counts only
+    what it has more than the article's fullest window.
+    """
+    own = np.array([len(t.replace(" ", "")) for t in texts], np.int64)
+    linked = np.minimum([line.linked for line in lines], own)
+    region = np.array([line.region for line in lines], bool)
+    plain = np.where(2 * linked <= own, own - linked, 0)
+    if not (own * region).any():
+        return plain
+    inside = REGION * own * region
+    peak = np.convolve(inside, np.ones(window, np.int64)).max()
+    return np.where(region, inside, np.maximum(plain - peak, 0))
 
 
 def main_lines(lines: list[Line], window: int = 3, threshold: int = 86) -> list[str]:
-    """The texts between the surge and dive points of the line-block distribution."""
-    texts = [line.text() for line in lines]
-    declared = any(line.region and not line.noise and t for line, t in zip(lines, texts, strict=True))
-    weights = np.zeros(len(lines), np.int64)
-    for k, (line, text) in enumerate(zip(lines, texts, strict=True)):
-        if line.noise or declared and not line.region:
-            continue
-        own = len(text.replace(" ", ""))
-        # in an article a link is text; elsewhere a line that is mostly links is a menu
-        weights[k] = own if declared or 2 * line.linked <= own else 0
-    if not weights.any():
+    """The texts between the surge and dive points of the line-block distribution.
+
+    Boilerplate is markup like any other and is stripped first, so text goes on
+    behind it.  The weights of ``window`` lines are summed; a surge point is
+    where the sums reach ``threshold`` (or the page's peak, if that is lower),
+    a dive point where they have fallen to nothing.  The text is what lies
+    between, from the foot of the surge on.
+    """
+    left = [(line, t) for line in lines if not line.noise and (t := line.text())]
+    if not left:
         return []
+    texts = [t for _, t in left]
+    weights = line_weights([line for line, _ in left], texts, window)
     sums = np.convolve(weights, np.ones(window, np.int64))  # sums[k]: of the lines k - window + 1 .. k
-    least = 1 if declared else min(threshold, int(sums.max()))
+    surge = min(threshold, int(sums.max()))
     keep: list[str] = []
-    k = 0
-    while k < len(sums):
-        if not sums[k]:
-            k += 1
+    foot = None
+    surged = False
+    for k, s in enumerate([*sums.tolist(), 0]):
+        if not s:  # a dive
+            if surged:
+                keep += [texts[i] for i in range(foot, min(k, len(texts))) if weights[i]]
+            foot, surged = None, False
             continue
-        dive = k
-        while dive < len(sums) and sums[dive]:
-            dive += 1
-        if sums[k:dive].max() >= least:  # the sums surge within this stretch
-            keep += [texts[i] for i in range(k, min(dive, len(lines))) if weights[i]]
-        k = dive
+        foot = k if foot is None else foot
+        surged = surged or s >= surge
     return keep
 
 
