@@ -47,6 +47,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
         _sha256(pii.joined(*base)).alias("base_sha256"),
         pii.joined(*base, *added).alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in added],
+        sum(F.size(k) for k in (*base, *added)).cast("long").alias("n_spans"),
+        pii.scores(*base, *added).alias("scores"),
     )
 
 
