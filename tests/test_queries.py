@@ -6,7 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracelode import queries
+from tracelode import (
+    file_queries,  # noqa: F401  registers its queries
+    queries,
+)
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,37 +14,116 @@ from .blueprint import Blueprint
 from .operators import delta, group, ioc, joins, profile, search, zones
 from .options import ReadOptions
 from .plans.predicate import select_rows
-from .sources import dataset, export, files
+from .sources import dataset, export, files, formats
 
 
 class Dataset:
     """Rows of all files under a path, with the engine's verbs.
 
     ``frame`` holds the parsed columns; ``lines`` the raw text lines with
-    ``file`` and ``row_idx``.  Edits made with ``delete`` and ``update`` show in
-    every later read.
+    ``file`` and ``row_idx``, which counts the data rows of a file from 0.
+    Edits made with ``delete`` and ``update`` show in every later read of either.
     """
 
     def __init__(self, spark: SparkSession, path: str, options: ReadOptions | None = None, blueprint: Blueprint | None = None):
-        self.spark, self.path, self.options = spark, path, options or ReadOptions()
-        self.paths = files.data_files(spark, path, self.options.full_scan)
-        df = dataset.read_files(spark, self.paths, self.options)
-        self.frame = blueprint.apply(df) if blueprint else df
+        self.spark, self.path, self.options = spark, path, self._merged(options, blueprint)
         self.blueprint = blueprint
-        self._edits = delta.Delta.empty(spark)
+        self.paths = files.data_files(spark, path, self.options.full_scan)
+        self._plain = self._applied(dataset.read_files(spark, self.paths, self.options))
+        self._edits: delta.Delta | None = None
+
+    @staticmethod
+    def _merged(options: ReadOptions | None, blueprint: Blueprint | None) -> ReadOptions:
+        """The options, and what only the blueprint says of how to read."""
+        o = options or ReadOptions()
+        if blueprint is None:
+            return o
+        return replace(
+            o,
+            delimiter=o.delimiter or blueprint.delimiter,
+            rfc_4180=o.rfc_4180 if o.rfc_4180 is not None else blueprint.rfc_4180 or None,
+            skip_rows=o.skip_rows or blueprint.skip_rows,
+            strip_quotes=o.strip_quotes or blueprint.strip_quotes,
+        )
+
+    def _applied(self, df: DataFrame) -> DataFrame:
+        return self.blueprint.apply(df) if self.blueprint else df
+
+    @property
+    def numbered(self) -> DataFrame:
+        """The parsed columns with ``file`` and ``row_idx``, edits included."""
+        raw = dataset.read_files(self.spark, self.paths, self.options, numbered=True)
+        return self._applied(self._edited(raw))
+
+    @property
+    def frame(self) -> DataFrame:
+        return self._plain if self._edits is None else self.numbered.select(*[f"`{c}`" for c in self._plain.columns])
+
+    def _edited(self, raw: DataFrame) -> DataFrame:
+        """``raw`` under the edits; a replaced line is parsed as the file's own are."""
+        if self._edits is None:
+            return raw
+        cells = [c for c in raw.columns if c not in ("file", "row_idx")]
+        if cells == ["line"]:
+            return delta.overlay(raw, self._edits, line_col="line")
+        head = dataset.head_of(self.spark, self.paths[0])
+        kind = formats.detect(head, self.paths[0], self.options.forced_format)
+        names = ", ".join(f"`{c}` {raw.schema[c].dataType.simpleString()}" for c in cells)
+        if kind == "json":
+            parsed = F.from_json("content", names)
+        else:
+            sep = self.options.delimiter or formats.delimiter(head) or ","
+            parsed = F.from_csv("content", names, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+        edits = delta.Delta(self._edits.deletes, self._edits.updates.withColumn("content", parsed), self._edits.keys)
+        return delta.overlay(raw, edits)
 
     @property
     def lines(self) -> DataFrame:
         """Data lines: the preamble and the header are not among them."""
         skip = self.options.skip_rows + (1 if self.options.has_header else 0)
         rows = dataset.text_lines(self.spark, self.paths, skip)
-        return delta.overlay(rows, self._edits, "row_idx", "line")
-
-    def delete(self, rows: list[int]) -> None:
-        self._edits = self._edits.delete(self.spark.createDataFrame([(r,) for r in rows], "row_idx bigint"))
-
-    def update(self, rows: dict[int, str]) -> None:
-        self._edits = self._edits.update(self.spark.createDataFrame(list(rows.items()), "row_idx bigint, content string"))
+        return rows if self._edits is None else delta.overlay(rows, self._edits, line_col="line")
+
+    def _file(self, part: str | None) -> str:
+        """The URI of the first file whose path holds a text; without one the only file."""
+        if part is None and len(self.paths) > 1:
+            raise ValueError("several files: name the one to edit")
+        for p in sorted(self.paths):
+            if part is None or part in p:
+                return dataset.uri_of(self.spark, p)
+        raise FileNotFoundError(part)
+
+    def _keyed(self, rows: list, file: str | None, more: str = "") -> DataFrame:
+        where = self._file(file)
+        return self.spark.createDataFrame([(where, *r) for r in rows], f"file string, row_idx bigint{more}")
+
+    def delete(self, rows: list[int], file: str | None = None) -> None:
+        """Delete rows of the first file whose path holds ``file``."""
+        edits = self._edits or delta.Delta.empty(self.spark, by_file=True)
+        self._edits = edits.delete(self._keyed([(r,) for r in rows], file))
+
+    def update(self, rows: dict[int, str], file: str | None = None) -> None:
+        """Replace rows of the first file whose path holds ``file`` by raw lines; a deleted row comes back."""
+        edits = self._edits or delta.Delta.empty(self.spark, by_file=True)
+        self._edits = edits.update(self._keyed(list(rows.items()), file, ", content string"))
+
+    def save_edits(self, path: str) -> str:
+        return (self._edits or delta.Delta.empty(self.spark, by_file=True)).save(path)
+
+    def load_edits(self, path: str) -> None:
+        self._edits = delta.Delta.load(self.spark, path)
+
+    def compact(self, path: str) -> None:
+        """Write the edited rows to a new place."""
+        self.frame.write.mode("errorifexists").parquet(path)
+
+    def each(self, callback: Callable[[dict], object]) -> int:
+        """Call ``callback`` with every record, one partition on the driver at a time; returns how many there were."""
+        n = 0
+        for row in self.frame.toLocalIterator():
+            callback(row.asDict(recursive=True))
+            n += 1
+        return n
 
     def metadata(self) -> DataFrame:
         return dataset.metadata(self.spark, self.paths, self.frame)
@@ -58,11 +139,16 @@ class Dataset:
         limits = self.blueprint.limits() if self.blueprint else None
         return profile.profile(select_rows(self.frame, **predicates), columns, level, by, limits)
 
-    def group(self, by: int | str, agg: int | str, filter_text: str | None = None, n: int = 50) -> DataFrame:
-        return group.top_by_sum(group.group_by(self.frame, by, agg, filter_text), n)
+    def group(self, by: int | str, agg: int | str, filter_text: str | None = None, n: int = 50, **predicates) -> DataFrame:
+        return group.top_by_sum(group.group_by(select_rows(self.frame, filter_text, **predicates), by, agg), n)
+
+    def top(self, column: int | str, n: int = 10, descending: bool = False, filter_text: str | None = None, **predicates) -> DataFrame:
+        return group.top_n(select_rows(self.frame, filter_text, **predicates), column, n, descending)
 
-    def top(self, column: int | str, n: int = 10, descending: bool = False, filter_text: str | None = None) -> DataFrame:
-        return group.top_n(self.frame, column, n, descending, filter_text)
+    def hybrid(self, query: str, limit: int = 100) -> DataFrame:
+        """(file, row_idx, offset, line): every place in a line where ``query`` occurs, without case, in order."""
+        found = search.occurrences(self.lines, "line", query, ["file", "row_idx", "line"])
+        return found.select("file", "row_idx", "offset", "line").orderBy("file", "row_idx", "offset").limit(limit)
 
     def search(self, query: str, limit: int = 100, ignore_case: bool = True) -> DataFrame:
         return search.dataset_search(self.lines, query, limit, "file", "row_idx", "line", ignore_case)
@@ -81,7 +167,8 @@ class Dataset:
         return joins.join(self.frame, other.frame, left_on, right_on, how, **options)
 
     def zone_map(self, columns: list[str], size: int = zones.ZONE_ROWS) -> DataFrame:
-        return zones.zone_map(self.frame, columns, size=size)
+        """Of each file's rows, as ``numbered`` counts them."""
+        return zones.zone_map(self.numbered, columns, size=size, by=["file"])
 
     def export(self, path: str, form: str = "csv", **predicates) -> None:
         {"csv": export.export_csv, "json": export.export_json}[form](self.frame, path, **predicates)
@@ -127,3 +214,20 @@ class Daemon:
             return json.dumps({"status": "ok", **out})
         except Exception as e:  # noqa: BLE001  every request gets an answer
             return json.dumps({"status": "error", "message": str(e)})
+
+
+def system_info(spark: SparkSession) -> DataFrame:
+    """(property, value): what the session runs on."""
+    sc = spark.sparkContext
+    runtime = sc._jvm.java.lang.System
+    found = {
+        "master": sc.master,
+        "spark": spark.version,
+        "java": runtime.getProperty("java.version"),
+        "os": f"{runtime.getProperty('os.name')} {runtime.getProperty('os.version')} {runtime.getProperty('os.arch')}",
+        "parallelism": str(sc.defaultParallelism),
+        "executors": str(sc._jsc.sc().getExecutorMemoryStatus().size()),
+        "driver_memory_mb": str(sc._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20),
+        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+    }
+    return spark.createDataFrame(sorted(found.items()), "property string, value string")

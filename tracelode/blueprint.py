@@ -102,13 +102,36 @@ class Blueprint:
         }
 
 
-def _preset(spec: str) -> Blueprint:
-    return Blueprint(tuple(Field(*word.split(":")) for word in spec.split()))
-
-
 # Columns of the presets.
 PRESETS = {
-    "hr": _preset("employee_id:ID full_name:Category email:Email salary:Currency hire_date:Date"),
-    "finance": _preset("transaction_id:ID amount:Currency currency:Category source_account:ID destination_account:ID timestamp:Date"),
-    "it_forensic": _preset("timestamp:Date source_ip:IP destination_ip:IP source_port:Integer protocol:Category uuid:UUID payload_json:JSON"),
+    "hr": Blueprint(
+        (
+            Field("employee_id", "ID"),
+            Field("full_name", "Category"),
+            Field("email", "Email"),
+            Field("salary", "Currency"),
+            Field("hire_date", "Date"),
+        )
+    ),
+    "finance": Blueprint(
+        (
+            Field("transaction_id", "ID"),
+            Field("amount", "Currency"),
+            Field("currency", "Category"),
+            Field("source_account", "ID"),
+            Field("destination_account", "ID"),
+            Field("timestamp", "Date"),
+        )
+    ),
+    "it_forensic": Blueprint(
+        (
+            Field("timestamp", "Date"),
+            Field("source_ip", "IP"),
+            Field("destination_ip", "IP"),
+            Field("source_port", "Integer"),
+            Field("protocol", "Category"),
+            Field("uuid", "UUID"),
+            Field("payload_json", "JSON"),
+        )
+    ),
 }

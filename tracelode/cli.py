@@ -5,9 +5,9 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .api import Daemon, Dataset
+from .api import Daemon, Dataset, system_info
 from .blueprint import PRESETS, Blueprint
-from .operators import group, history, search, zones
+from .operators import history, search, zones
 from .options import AnalysisProfile, ProfileStore, ReadOptions
 from .session import session
 from .sources import dataset, evtx, export, files, pcap
@@ -45,7 +45,11 @@ def parser() -> argparse.ArgumentParser:
     verb("export", (("output",), {}), (("--as",), {"dest": "form", "choices": ("csv", "json"), "default": "csv"}), *filters)
     verb("ips", (("--mode",), {"choices": ("v4", "v6", "both"), "default": "both"}), (("--output",), {}))
     verb("join", (("other",), {}), (("--left",), {"required": True}), (("--right",), {"required": True}), (("--how",), {"default": "inner"}))
-    verb("build-zones", (("output",), {}), (("--columns",), {"required": True}), (("--row-col",), {"default": "row_idx"}), (("--zone-size",), number | {"default": zones.ZONE_ROWS}))
+    verb("build-zones", (("output",), {}), (("--columns",), {"required": True}), (("--zone-size",), number | {"default": zones.ZONE_ROWS}))
+    verb("hybrid", (("query",), {}), (("--limit",), number | {"default": 100}))
+    verb("get-rows", (("--start",), number | {"required": True}), (("--limit",), number | {"required": True}))
+    verb("sys-info", path=False)
+    verb("scan-hardware", path=False)
     verb("index")
     verb("hash")
     verb("find", (("query",), {}), (("--limit",), number | {"default": 100}))
@@ -82,6 +86,8 @@ def main(argv: list[str] | None = None) -> int:
         "evtx": lambda: evtx.summarise(evtx.read_records(spark, a.path, a.carve)),
         "hash": lambda: export.block_hashes(spark, a.path),
         "history": lambda: history.scans(spark, a.path, a.source),
+        "sys-info": lambda: system_info(spark),
+        "scan-hardware": lambda: system_info(spark),
         "index": lambda: export.row_index(dataset.text_lines(spark, files.data_files(spark, a.path, a.full_scan))),
     }
     if a.verb in simple:
@@ -112,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         data.export(a.output, a.form, **picks)
         return 0
     elif a.verb == "build-zones":
-        zones.save(zones.zone_map(dataset.with_row_idx(data.frame, a.row_col) if a.row_col != "row_idx" else data.frame, a.columns.split(","), size=a.zone_size), a.output)
+        zones.save(data.zone_map(a.columns.split(","), a.zone_size), a.output)
         return 0
     elif a.verb == "ioc-search":
         out = data.ioc_search(search.indicator_list([r.value for r in spark.read.text(a.list).collect()], a.comments))
@@ -124,8 +130,10 @@ def main(argv: list[str] | None = None) -> int:
         out = {
             "view": lambda: data.rows(a.start, a.start + a.count),
             "search": lambda: data.search(a.query, a.limit, not a.case_sensitive),
-            "group": lambda: group.top_by_sum(group.group_by(data.frame, a.by, a.agg, a.filter)),
-            "top": lambda: data.top(a.col, a.limit, a.desc, a.filter),
+            "get-rows": lambda: data.rows(a.start, a.start + a.limit),
+            "hybrid": lambda: data.hybrid(a.query, a.limit),
+            "group": lambda: data.group(a.by, a.agg, a.filter, regex=a.regex),
+            "top": lambda: data.top(a.col, a.limit, a.desc, a.filter, regex=a.regex),
             "join": lambda: data.join(Dataset(spark, a.other, options), a.left, a.right, a.how),
             "metadata": lambda: data.metadata(),
         }[a.verb]()

@@ -8,56 +8,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _empty(spark: SparkSession, ddl: str) -> DataFrame:
+    return spark.createDataFrame([], ddl)
+
+
 @dataclass
 class Delta:
     """Edits of a table by row number; each edit returns a new Delta.
 
-    ``deletes`` has ``row_idx``; ``updates`` has ``row_idx`` and ``content``
-    (a struct, or the line of a text table).  A row is in one of them at most.
+    ``deletes`` has the ``keys`` (``row_idx``, or ``file`` and ``row_idx``);
+    ``updates`` has them and ``content`` (a struct, or the line of a text
+    table).  A row is in one of them at most.
     """
 
     deletes: DataFrame
     updates: DataFrame
+    keys: tuple[str, ...] = ("row_idx",)
 
     @classmethod
-    def empty(cls, spark: SparkSession, content: str = "string") -> Delta:
-        return cls(spark.createDataFrame([], "row_idx bigint"), spark.createDataFrame([], f"row_idx bigint, content {content}"))
+    def empty(cls, spark: SparkSession, content: str = "string", by_file: bool = False) -> Delta:
+        keys = ("file", "row_idx") if by_file else ("row_idx",)
+        ddl = "file string, row_idx bigint" if by_file else "row_idx bigint"
+        return cls(_empty(spark, ddl), _empty(spark, f"{ddl}, content {content}"), keys)
 
     def delete(self, rows: DataFrame) -> Delta:
-        """Tombstones for ``row_idx``; a pending replacement goes."""
-        return Delta(self.deletes.union(rows.select("row_idx")).distinct(), self.updates.join(rows, "row_idx", "left_anti"))
+        """Tombstones for rows; a pending replacement goes."""
+        on = list(self.keys)
+        return Delta(self.deletes.unionByName(rows.select(*on)).distinct(), self.updates.join(rows, on, "left_anti"), self.keys)
 
     def update(self, rows: DataFrame) -> Delta:
-        """Replacements (``row_idx``, ``content``); a deleted row comes back."""
-        return Delta(self.deletes.join(rows, "row_idx", "left_anti"), self.updates.join(rows, "row_idx", "left_anti").unionByName(rows.select("row_idx", "content")))
+        """Replacements (keys, ``content``); a deleted row comes back."""
+        on = list(self.keys)
+        newer = self.updates.join(rows, on, "left_anti").unionByName(rows.select(*on, "content"))
+        return Delta(self.deletes.join(rows, on, "left_anti"), newer, self.keys)
 
     def state(self) -> DataFrame:
-        """(row_idx, is_deleted, content)."""
-        gone = self.deletes.select("row_idx", F.lit(True).alias("is_deleted"), F.lit(None).cast(self.updates.schema["content"].dataType).alias("content"))
-        return gone.unionByName(self.updates.select("row_idx", F.lit(False).alias("is_deleted"), "content"))
-
-    def save(self, path: str) -> None:
-        """Both tables under ``path``; every save is a new version, so a reader never sees half of one."""
-        self.state().write.mode("overwrite").parquet(path)
+        """(keys, is_deleted, content)."""
+        kind = self.updates.schema["content"].dataType
+        gone = self.deletes.select(*self.keys, F.lit(True).alias("is_deleted"), F.lit(None).cast(kind).alias("content"))
+        return gone.unionByName(self.updates.select(*self.keys, F.lit(False).alias("is_deleted"), "content"))
+
+    def save(self, path: str) -> str:
+        """Write both tables as a new version under ``path``; earlier versions stay, so readers and plans keep what they read."""
+        spark = self.deletes.sparkSession
+        target = f"{path}/version={max(_versions(spark, path), default=0) + 1:08d}"
+        self.state().write.mode("errorifexists").parquet(target)
+        return target
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Delta:
-        rows = spark.read.parquet(path)
-        return cls(rows.where("is_deleted").select("row_idx"), rows.where("NOT is_deleted").select("row_idx", "content"))
+        """The last whole version under ``path``."""
+        have = _versions(spark, path)
+        if not have:
+            raise FileNotFoundError(path)
+        rows = spark.read.parquet(f"{path}/version={max(have):08d}")
+        keys = tuple(c for c in ("file", "row_idx") if c in rows.columns)
+        return cls(rows.where("is_deleted").select(*keys), rows.where("NOT is_deleted").select(*keys, "content"), keys)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    whole = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return [int(n.removeprefix("version=")) for n in whole if n.startswith("version=")]
 
 
 def overlay(df: DataFrame, delta: Delta, row_col: str = "row_idx", line_col: str | None = None) -> DataFrame:
     """``df`` with deleted rows gone and replaced rows substituted.
 
-    ``content`` replaces ``line_col``, or if it is a struct the columns that it names.
+    ``content`` replaces ``line_col``, or if it is a struct the columns that it
+    names.  ``row_col`` holds the row number; with edits by file, ``file`` the file.
     """
-    gone = delta.deletes.select(F.col("row_idx").alias("__gone"))
-    new = delta.updates.select(F.col("row_idx").alias("__row"), F.col("content").alias("__new"), F.lit(True).alias("__has"))
-    both = df.join(gone, F.col(row_col) == F.col("__gone"), "left_anti").join(new, F.col(row_col) == F.col("__row"), "left")
+    own = [row_col if k == "row_idx" else k for k in delta.keys]
+    gone = delta.deletes.toDF(*[f"__gone_{k}" for k in delta.deletes.columns])
+    new = delta.updates.select(*[F.col(k).alias(f"__row_{k}") for k in delta.keys], F.col("content").alias("__new"), F.lit(True).alias("__has"))
+
+    def on(mark: str):
+        out = F.lit(True)
+        for mine, k in zip(own, delta.keys, strict=True):
+            out = out & (F.col(f"`{mine}`") == F.col(f"__{mark}_{k}"))
+        return out
+
+    both = df.join(gone, on("gone"), "left_anti").join(new, on("row"), "left")
     if line_col:
         replaced = {line_col: "__new"}
     else:
-        replaced = {f.name: f"__new.{f.name}" for f in delta.updates.schema["content"].dataType.fields}
+        replaced = {f.name: f"__new.`{f.name}`" for f in delta.updates.schema["content"].dataType.fields}
     return both.select(
         *[F.when(F.col("__has"), F.col(replaced[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in replaced else F.col(f"`{c}`") for c in df.columns]
     )

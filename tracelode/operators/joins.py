@@ -61,13 +61,20 @@ def index_pairs(left: DataFrame, right: DataFrame, key: str, row: str) -> DataFr
     return a.join(b, "k").select("left_idx", "right_idx")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, value: str, start: str, end: str, how: str = "left", width: int = 1 << 24) -> DataFrame:
+def bucket_width(ranges: DataFrame, start: str, end: str) -> int:
+    """The mean length of the ranges, as a power of two: cut by it, they are at most two pieces each on average."""
+    mean = ranges.agg(F.avg(F.col(end).cast("double") - F.col(start).cast("double") + 1)).first()[0]
+    return 1 << max(0, int(mean or 1).bit_length())
+
+
+def range_join(points: DataFrame, ranges: DataFrame, value: str, start: str, end: str, how: str = "left", width: int | None = None) -> DataFrame:
     """``points`` joined with the range [start, end] that holds ``value``.
 
-    Ranges are cut into buckets of ``width`` values, so the join is an
-    equi-join on the bucket with the bounds as a residual: it scales with both
-    sides and needs no broadcast.
+    Ranges are cut into buckets of ``width`` values (by default of their mean
+    length), so the join is an equi-join on the bucket with the bounds as a
+    residual: it scales with both sides and needs no broadcast.
     """
+    width = width or bucket_width(ranges, start, end)
     low, high = (F.floor(F.col(c) / F.lit(width)).cast("long") for c in (start, end))
     cut = ranges.withColumn("__b", F.explode(F.sequence(low, high)))
     own = points.withColumn("__p", F.floor(F.col(value) / F.lit(width)).cast("long"))

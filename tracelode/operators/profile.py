@@ -125,7 +125,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, level: str = "d
         (F.coalesce(F.sum(F.octet_length("s")), F.lit(0)) / F.lit(1024.0)).alias("text_kb"),
     ]
     if level == "full":
-        aggs.append(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles"))
+        # a sketch of bounded size: ranks are within a ten-thousandth
+        aggs.append(F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("quartiles"))
         bounds = F.lit(False)
         for c, (low, high) in (limits or {}).items():
             bounds = bounds | ((F.col("column") == c) & ((F.col("v") < low) | (F.col("v") > high)))
@@ -161,12 +162,43 @@ def top_categories(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def quartiles(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
-    """(q1, median, q3); exact unless ``approximate``."""
-    f = F.percentile_approx if approximate else F.percentile
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return df.agg(f(F.col(column).cast("double"), q).alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
-    )
+    """(q1, median, q3); exact, interpolated between neighbours, unless ``approximate``.
+
+    The exact ones take two passes: a sketch brackets each rank, then only the
+    values in the brackets are counted and ranked.
+    """
+    qs = (0.25, 0.5, 0.75)
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    if approximate:
+        found = rows.agg(F.percentile_approx("v", F.array(*map(F.lit, qs)), 10_000).alias("q"))
+        return found.select(*[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    wide = F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in qs for d in (-_SLACK, _SLACK)])
+    n, sketch = rows.agg(F.count("*"), F.percentile_approx("v", wide, 10_000)).first()
+    if n <= _FEW:  # a bracket might miss a neighbour
+        found = rows.agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q"))
+        return found.select(*[F.col("q")[k].alias(name) for k, name in enumerate(("q1", "median", "q3"))])
+    brackets = [(sketch[2 * k], sketch[2 * k + 1]) for k in range(len(qs))]
+    below = rows.agg(*[F.count_if(F.col("v") < low) for low, _ in brackets]).first()
+    inside = F.lit(False)
+    for low, high in brackets:
+        inside = inside | F.col("v").between(low, high)
+    # the brackets hold some thousandths of the rows, and each value once
+    counted = rows.where(inside).groupBy("v").agg(F.count("*").alias("n"))
+    exprs = []
+    for k, (q, (low, high)) in enumerate(zip(qs, brackets, strict=True)):
+        place = q * (n - 1)
+        run = F.sum(F.when(F.col("v").between(low, high), F.col("n")).otherwise(0)).over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        counted = counted.withColumn(f"r{k}", run)
+        at = lambda rank, k=k, low=low, high=high: F.min(F.when(F.col("v").between(low, high) & (F.col(f"r{k}") > rank - below[k]), F.col("v")))
+        first, second = at(int(place)), at(min(n - 1, int(place) + 1))
+        exprs.append((first + (second - first) * F.lit(place - int(place))).alias(("q1", "median", "q3")[k]))
+    return counted.agg(*exprs)
+
+
+#: Ranks on either side of a quartile that its bracket spans, as a share; ten times the sketch's error.
+_SLACK = 0.001
+#: Values that are sorted at once.
+_FEW = 10_000
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 10) -> DataFrame:

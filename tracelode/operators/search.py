@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.predicate import _named, line_of
 
-#: Indicators up to which one scan tests them one by one; more are joined as a table.
+#: Indicators up to which expressions test them one by one; more go into one automaton.
 MANY = 64
 
 
@@ -58,20 +60,30 @@ def occurrence_count(text: Column, query: str, ignore_case: bool = True) -> Colu
 def occurrences(df: DataFrame, text_col: str, query: str, keep: Sequence[str], ignore_case: bool = True) -> DataFrame:
     """One row per occurrence: the ``keep`` columns and ``offset``, code points from 0.
 
-    Each match consumes one character, so overlapping ones are found.
+    Overlapping occurrences are found.  Rows without a hit never leave the JVM;
+    the offsets of the others are found in Arrow batches, in time linear in the text.
     """
     if not query:
-        return df.select(*keep, F.lit(0).alias("offset")).limit(0)
+        return df.select(*keep, F.lit(0).cast("long").alias("offset")).limit(0)
     text = F.lower(F.col(text_col)) if ignore_case else F.col(text_col)
     query = query.lower() if ignore_case else query
-    pieces = F.split(text, f"{re.escape(query[0])}(?={re.escape(query[1:])})", -1) if len(query) > 1 else F.split(text, re.escape(query), -1)
-    hit = df.where(F.contains(text, F.lit(query))).select(*keep, pieces.alias("_pieces"))
-    ends = F.aggregate(
-        F.slice("_pieces", 1, F.size("_pieces") - 1),
-        F.array().cast("array<int>"),
-        lambda acc, p: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 1, F.lit(0)) + F.length(p)),
-    )
-    return hit.select(*keep, F.explode(ends).alias("offset"))
+    rows = df.where(F.contains(text, F.lit(query))).select(*keep, text.cast("string").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", offset bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, offset = [], []
+            for k, t in enumerate(b.column("__text")):
+                t = t.as_py()
+                at = t.find(query)
+                while at >= 0:
+                    owner.append(k)
+                    offset.append(at)
+                    at = t.find(query, at + 1)
+            taken = b.drop_columns(["__text"]).take(pa.array(owner, pa.int64()))
+            yield pa.record_batch([*taken.columns, pa.array(offset, pa.int64())], [*taken.schema.names, "offset"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def distinct_rows(df: DataFrame, text_col: str, query: str, row_col: str, limit: int | None = None) -> DataFrame:
@@ -95,12 +107,15 @@ def indicator_list(lines: Sequence[str], comments: bool = False) -> list[str]:
 
 
 def indicators(df: DataFrame, text_col: str, patterns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(indicator, keep..., hits) for every row that holds an indicator, without case.
+    """(indicator, keep..., hits) for every row that holds an indicator, without case; overlapping hits count.
 
-    All indicators are tested in one pass over the rows.
+    All indicators are tested in one pass over the rows: up to ``MANY`` as
+    expressions, a longer list as one automaton in Arrow batches.
     """
     wanted = list(dict.fromkeys(p for p in patterns if p))
     low = F.lower(F.col(text_col))
+    if len(wanted) > MANY:
+        return _many(df, low, wanted, keep)
     found = F.array_compact(
         F.array(
             *[
@@ -112,6 +127,41 @@ def indicators(df: DataFrame, text_col: str, patterns: Sequence[str], keep: Sequ
     return df.select(*keep, F.explode(found).alias("f")).select("f.indicator", *keep, F.col("f.hits").cast("long").alias("hits"))
 
 
+@lru_cache(maxsize=1)
+def _automaton(patterns: tuple[str, ...]):
+    import ahocorasick
+
+    scan = ahocorasick.Automaton()
+    spelled: dict[str, list[int]] = {}
+    for k, p in enumerate(patterns):
+        spelled.setdefault(p.lower(), []).append(k)
+    for low, ks in spelled.items():
+        scan.add_word(low, ks)
+    scan.make_automaton()
+    return scan
+
+
+def _many(df: DataFrame, low: Column, wanted: list[str], keep: Sequence[str]) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast(tuple(wanted))  # the caller's own list
+    rows = df.select(*keep, low.alias("__text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.value
+        scan = _automaton(names)
+        for b in batches:
+            owner, which, hits = [], [], []
+            for k, t in enumerate(b.column("__text")):
+                counts = Counter(n for _, ns in scan.iter(t.as_py() or "") for n in ns)
+                owner += [k] * len(counts)
+                which += [names[n] for n in counts]
+                hits += counts.values()
+            taken = b.drop_columns(["__text"]).take(pa.array(owner, pa.int64()))
+            yield pa.record_batch([pa.array(which, pa.string()), *taken.columns, pa.array(hits, pa.int64())], ["indicator", *taken.schema.names, "hits"])
+
+    return rows.mapInArrow(run, f"indicator string, {kept}, hits bigint")
+
+
 def viewer(df: DataFrame, query: str, text_col: str, row_col: str = "row_idx", sample: int = 10, limit: int = 100_000) -> DataFrame:
     """The viewer's box: digits jump to that row; any other text samples the rows that hold it."""
     if query.strip().isdigit():

@@ -11,6 +11,9 @@ from pathlib import Path
 class ReadOptions:
     """How files are read.
 
+    ``strip_quotes`` takes one pair of outer quotes off cells; ``infer`` reads
+    text cells as the types that the first values of their columns spell.
+
     ``hardware_mode``, ``gpu``, ``threads``, ``chunk_size_mb`` and ``no_limit``
     are accepted and change nothing: Spark places the work.
     """
@@ -19,6 +22,7 @@ class ReadOptions:
     has_header: bool = True
     rfc_4180: bool | None = None
     strip_quotes: bool = False
+    infer: bool = False
     skip_rows: int = 0
     forced_format: str | None = None
     full_scan: bool = False

@@ -11,6 +11,7 @@ from .functions import scalar
 from .functions.formula import with_formulas
 from .operators import delta, group, history, ioc, joins, profile, search, zones
 from .plans import predicate
+from .scratch import scratch
 from .sources.dataset import with_row_idx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,9 +98,9 @@ def filter_dsl_or_parens(spark, sf_dir):
     return predicate.where(_t(spark, sf_dir, "orders"), "($2='f' OR $2='P') AND $3<50000")
 
 
-@query("SELECT * FROM part WHERE p_retailprice BETWEEN 1000 AND 1500")
+@query("SELECT * FROM customer WHERE c_acctbal BETWEEN 1000 AND 2500.5")
 def filter_range(spark, sf_dir):
-    return predicate.in_range(_t(spark, sf_dir, "part"), "p_retailprice", 1000, 1500)
+    return predicate.in_range(_t(spark, sf_dir, "customer"), "c_acctbal", 1000, 2500.5)
 
 
 @query("SELECT * FROM orders WHERE year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) BETWEEN 19950101 AND 19961231")
@@ -201,11 +202,15 @@ def join_by_name(spark, sf_dir):
     return both.select("n_nationkey", "n_name", "r_regionkey", "r_name")
 
 
-@query("SELECT l.l_orderkey AS left_idx, o.o_orderkey AS right_idx FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_totalprice > 400000")
+@query(
+    "SELECT l.i AS left_idx, o.i AS right_idx FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 AS i FROM lineitem) l "
+    "JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS i FROM orders) o ON l.l_orderkey = o.o_orderkey"
+)
 def join_index_pairs(spark, sf_dir):
-    left = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_orderkey").alias("row"))
-    right = predicate.in_range(_t(spark, sf_dir, "orders"), "o_totalprice", 400000.000001).select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("row"))
-    return joins.index_pairs(left, right, "k", "row")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("at"))
+    left = with_row_idx(lines, "at").select(F.col("l_orderkey").alias("k"), "row_idx")
+    right = with_row_idx(_t(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_orderkey")).alias("at")), "at")
+    return joins.index_pairs(left, right.select(F.col("o_orderkey").alias("k"), "row_idx"), "k", "row_idx")
 
 
 _RANGES = ((0x01000000, 0x3FFFFFFF, "AA", "Aland"), (0x40000000, 0x7EFFFFFF, "BB", "Bland"), (0x80000000, 0xBFFFFFFF, "CC", "Cland"))
@@ -443,22 +448,11 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_stream(spark, path, spark.read.parquet(path).schema)
 
 
-def _checkpoint(spark: SparkSession, label: str) -> str:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tracelode/{label}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"tracelode-{label}-")
-
-
 @query("SELECT event_type, count(*) AS count, round(sum(value), 2) AS sum FROM events GROUP BY event_type")
 def stream_group(spark, sf_dir):
-    import uuid
-
     from .streaming.ingest import stream_group as run
 
-    name = f"stream_group_{uuid.uuid4().hex}"
-    return run(_stream(spark, sf_dir, "events"), "event_type", "value", name, _checkpoint(spark, "stream-group")).withColumn("sum", F.round("sum", 2))
+    return run(_stream(spark, sf_dir, "events"), "event_type", "value", scratch(spark, "stream-group")).withColumn("sum", F.round("sum", 2))
 
 
 @query("SELECT 'value' AS \"column\", count(value) AS count, round(avg(value), 4) AS mean, round(var_samp(value), 3) AS variance, count(*) - count(value) AS null_count FROM events")
@@ -466,8 +460,8 @@ def stream_profile(spark, sf_dir):
     from .streaming.ingest import analyse_stream
     from .streaming.ingest import stream_profile as finish
 
-    sums = _checkpoint(spark, "stream-sums") + "/sums"
-    analyse_stream(_stream(spark, sf_dir, "events"), ["value"], sums, _checkpoint(spark, "stream-profile")).awaitTermination()
+    sums = scratch(spark, "stream-sums") + "/sums"
+    analyse_stream(_stream(spark, sf_dir, "events"), ["value"], sums, scratch(spark, "stream-profile")).awaitTermination()
     return finish(spark, sums).select("column", "count", F.round("mean", 4).alias("mean"), F.round("variance", 3).alias("variance"), "null_count")
 
 

@@ -1,7 +1,8 @@
 """Windows event logs: record scan, carving and level summary.
 
-Chunks are 64 KiB and independent.  A file is one row of bytes; its chunks are
-exploded by Spark before decoding, so the decoding of one file is spread.
+Chunks are 64 KiB and independent.  A file is one row of bytes (2 GiB at most);
+its chunks are exploded by Spark before decoding, so the decoding of one file
+is spread.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.network import filetime_seconds
+from .files import plain_uri
 from .formats import EVTX_MAGIC
 
 HEADER, CHUNK, FIRST = 4096, 65_536, 512
@@ -88,7 +90,7 @@ def read_records(spark: SparkSession, paths: list[str] | str, carve: bool = Fals
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    chunks = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(split, "file string, at bigint, chunk binary")
+    chunks = spark.read.format("binaryFile").load(paths).select(plain_uri(F.col("path")), "content").mapInArrow(split, "file string, at bigint, chunk binary")
     records = chunks.repartition("file", "at").mapInArrow(decode, SCHEMA)
     return records.withColumn("unix_seconds", filetime_seconds(F.col("filetime")))
 
@@ -104,13 +106,17 @@ def summarise(records: DataFrame) -> DataFrame:
     )
 
 
-def carve_signature(content: Column, mark: bytes) -> Column:
-    """Offsets of a signature in binary content, by splitting at a look-ahead; overlapping ones included."""
-    text = F.decode(content, "ISO-8859-1")
-    quoted = "".join(f"\\x{b:02x}" for b in mark)
-    pieces = F.split(text, f"{quoted[:4]}(?={quoted[4:]})" if len(mark) > 1 else quoted, -1)
-    return F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.array().cast("array<int>"),
-        lambda acc, p: F.array_append(acc, F.coalesce(F.element_at(acc, -1) + 1, F.lit(0)) + F.length(p)),
-    )
+def carve_signature(df: DataFrame, content: str, mark: bytes, keep: list[str]) -> DataFrame:
+    """(keep..., offset): where a signature lies in binary content, overlapping ones included."""
+    hit = F.contains(F.col(content), F.lit(bytearray(mark)))
+    rows = df.where(hit).select(*keep, F.col(content).alias("__data"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", offset bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [find_all(d.as_py(), mark) for d in b.column("__data")]
+            owner = pa.array([k for k, at in enumerate(found) for _ in at], pa.int64())
+            taken = b.drop_columns(["__data"]).take(owner)
+            yield pa.record_batch([*taken.columns, pa.array([x for at in found for x in at], pa.int64())], [*taken.schema.names, "offset"])
+
+    return rows.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Directories that discovery passes over, and the finder's type words.
@@ -39,6 +39,11 @@ class Entry:
         return self.name.rsplit(".", 1)[-1].lower() if "." in self.name.lstrip(".") else ""
 
 
+def plain_uri(path: Column) -> Column:
+    """A file's path in one spelling; Spark writes local ones with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def walk(spark: SparkSession, base: str, full_scan: bool = False) -> Iterator[Entry]:
     """Everything below ``base`` in name order; what cannot be listed is passed over."""
     jvm = spark.sparkContext._jvm

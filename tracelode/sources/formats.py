@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
 # Magic numbers.
 PCAP_MAGICS = {
     b"\xd4\xc3\xb2\xa1": ("little", 1_000_000),
@@ -17,10 +21,33 @@ EXTENSIONS = {"json": "json", "ndjson": "json", "jsonl": "json", "parquet": "par
 COMPRESSED = {"gz": "gzip", "zst": "zstd", "zstd": "zstd", "xz": "xz"}
 
 
+@dataclass(frozen=True)
+class Format:
+    """A format of the user's own: whether a file's first bytes are of it, and its reader of (spark, paths)."""
+
+    probe: Callable[[bytes], bool]
+    read: Callable[[Any, list[str]], Any]
+
+
+#: Registered formats by name, asked in the order of registration and before the built-in ones.
+REGISTERED: dict[str, Format] = {}
+
+
+def register(name: str, probe: Callable[[bytes], bool], read: Callable[[Any, list[str]], Any]) -> None:
+    REGISTERED[name.lower()] = Format(probe, read)
+
+
+def unregister(name: str) -> None:
+    REGISTERED.pop(name.lower(), None)
+
+
 def detect(head: bytes, name: str = "", forced: str | None = None) -> str:
-    """parquet, pcap, evtx, json, csv or text; magic numbers come before anything else."""
+    """A registered format, or parquet, pcap, evtx, json, csv or text; magic numbers come before anything else."""
     if forced:
         return forced.lower()
+    for own, form in REGISTERED.items():
+        if form.probe(head):
+            return own
     if head.startswith(b"PAR1"):
         return "parquet"
     if head[:4] in PCAP_MAGICS or head.startswith(PCAPNG_MAGIC):

@@ -1,7 +1,8 @@
-"""Packet captures: a Python data source, flow keys and summaries.
+"""Packet captures: packets, flow keys and summaries.
 
-Captures do not split, so each file is one task; packets are read in a stream
-and handed on in Arrow batches, and flows are counted exactly by Spark.
+Captures do not split, so each file is one row of bytes (2 GiB at most) and one
+task; its packets are handed on in Arrow batches, and flows are counted exactly
+by Spark.  Captures are rotated far below that size; split larger ones.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.network import canonical_flow, payload_kind
+from .files import plain_uri
 from .formats import PCAP_MAGICS, PCAPNG_MAGIC
 
 SCHEMA = "file string, packet bigint, ts_sec bigint, ts_nsec bigint, incl_len bigint, orig_len bigint, payload binary"
@@ -124,7 +126,7 @@ def read_packets(spark: SparkSession, paths: list[str] | str) -> DataFrame:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 yield from _batches((path, k, *p) for k, p in enumerate(packets(content.as_buffer())))
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(paths).select(plain_uri(F.col("path")), "content").mapInArrow(run, SCHEMA)
 
 
 def with_flows(df: DataFrame) -> DataFrame:

@@ -118,12 +118,15 @@ def stream_profile(spark: SparkSession, sums_dir: str) -> DataFrame:
     return finish_sums(merge_sums(spark.read.parquet(sums_dir)))
 
 
-def stream_group(stream: DataFrame, key: str, value: str, name: str, checkpoint: str) -> DataFrame:
-    """Group-by over all that a stream holds now, read back from a table in memory."""
-    groups = stream.groupBy(key).agg(F.count("*").alias("count"), F.sum(value).alias("sum"))
-    query = groups.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_group(stream: DataFrame, key: str, value: str, checkpoint: str) -> DataFrame:
+    """Group-by over all that a stream holds now; the groups stay in the state store and are read from there."""
+    groups = stream.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("count"), F.sum(value).alias("sum"))
+    query = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    state = stream.sparkSession.read.format("statestore").load(checkpoint)
+    count, total = state.schema["value"].dataType.names[:2]
+    own = state.schema["key"].dataType.names[0]
+    return state.select(F.col(f"key.`{own}`").alias(key), F.col(f"value.`{count}`").alias("count"), F.col(f"value.`{total}`").alias("sum"))
 
 
 def windowed(stream: DataFrame, ts: str, keys: Sequence[str], width: str, lateness: str, slide: str | None = None) -> DataFrame:
