@@ -1,30 +1,37 @@
 """Hierarchical language identification.
 
 First the language family is predicted, then one-versus-one linear support
-vector machines separate the languages within it.  Both levels are linear
-machines over square-rooted frequencies of hashed letter n-grams (1 to 3) of
-the whole text; only the text is ever an input of a prediction.
+vector machines separate the languages within it.  Families are told apart
+one-versus-one, too, or one against the rest if there are over ``MANY``.  Both
+levels are linear machines over square-rooted frequencies of hashed letter
+n-grams (1 to 3) of the whole text; only the text is ever an input of a
+prediction.
 
 Training rows are a documented sample: at most ``per_language`` labelled rows
-of each language, those of the least identifier hash, so the driver holds a
-bounded set whatever the corpus size.
+of each language and at most ``max_rows`` in all (every language gets the same
+part of them, one row at least), those of the least hash of identifier and
+text.  Executors compute their features; the driver gets these alone, at most
+32 KB a row, so it holds a bounded set whatever the corpus size and the length
+of texts.  More languages than ``max_rows`` raise an error.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, as is every text if no labelled row exists; rows whose label is null are
 not learned from; a text of one letter is predicted like any other; a very
-long text is read whole, in slices; repeated rows get equal results; other
-columns are ignored.
+long text is read whole, in slices; a row with a null or repeated id is
+predicted by its own text, and repeated rows get equal results; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix, text_key
@@ -100,38 +107,57 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12)
     return w.astype(np.float32)
 
 
+#: Classes beyond which each is told from the rest instead of from every other.
+MANY = 12
+
+
+def _rest_sample(own: np.ndarray) -> np.ndarray:
+    """The rows of a class and, for each of them, four others (200 at least)."""
+    others = np.flatnonzero(~own)
+    at_most = max(200, 4 * int(own.sum()))
+    if len(others) > at_most:
+        others = np.sort(np.random.default_rng(11).choice(others, at_most, replace=False))
+    return np.concatenate([np.flatnonzero(own), others])
+
+
 @dataclass
-class Pairwise:
-    """One-versus-one machines over a list of classes."""
+class Machines:
+    """Linear machines over a list of classes: one for each pair, or one for each class."""
 
     classes: list[str]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
+    paired: bool
+    weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Pairwise:
+    def fit(cls, x: np.ndarray, labels: np.ndarray, paired: bool) -> Machines:
         classes = sorted(set(labels.tolist()))
         rows = []
-        for a, b in combinations(classes, 2):
-            pick = (labels == a) | (labels == b)
-            rows.append(linear_svm(x[pick], np.where(labels[pick] == a, 1.0, -1.0)))
-        return cls(classes, np.array(rows, np.float32).reshape(-1, x.shape[1]))
+        for a, b in combinations(classes, 2) if paired else [(c, None) for c in classes]:
+            own = labels == a
+            pick = np.flatnonzero(own | (labels == b)) if paired else _rest_sample(own)
+            rows.append(linear_svm(x[pick], np.where(own[pick], 1.0, -1.0)))
+        return cls(classes, paired, np.array(rows, np.float32).reshape(-1, x.shape[1]))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class numbers and scores in 0..1: the mean squashed margin of the winner's duels."""
+        """Class numbers and scores in 0..1: the mean squashed margin of the winner's duels, or that against the rest."""
         k = len(self.classes)
         won = np.zeros((len(x), k), np.float32)
-        for (a, b), m in zip(combinations(range(k), 2), (x @ self.weights.T).T, strict=True):
-            p = 1 / (1 + np.exp(-3 * m))
-            won[:, a] += p
-            won[:, b] += 1 - p
+        p = 1 / (1 + np.exp(-3 * (x @ self.weights.T)))
+        if self.paired:
+            for n, (a, b) in enumerate(combinations(range(k), 2)):
+                won[:, a] += p[:, n]
+                won[:, b] += 1 - p[:, n]
+            won /= max(k - 1, 1)
+        else:
+            won = p
         best = won.argmax(axis=1)
-        return best, won[np.arange(len(x)), best] / (k - 1) if k > 1 else np.ones(len(x), np.float32)
+        return best, won[np.arange(len(x)), best] if k > 1 else np.ones(len(x), np.float32)
 
 
 @dataclass
 class Model:
-    families: Pairwise
-    within: dict[str, Pairwise]
+    families: Machines
+    within: dict[str, Machines]
 
     def predict(self, counts: np.ndarray) -> list[tuple[str, float]]:
         x = _scaled(counts)
@@ -146,49 +172,59 @@ class Model:
         return out
 
 
-def train(texts: list[str], langs: list[str]) -> Model | None:
-    got = [(f, lang) for f, lang in ((features(t), lang) for t, lang in zip(texts, langs, strict=True)) if f is not None]
-    if not got:
+def train(x: np.ndarray, langs: list[str]) -> Model | None:
+    """The machines of scaled features and their languages."""
+    if not len(x):
         return None
-    x, y = _scaled(np.array([f for f, _ in got])), np.array([lang for _, lang in got])
-    family = np.array([FAMILY_OF.get(lang, "-" + lang) for lang in y.tolist()])
+    y = np.array(langs)
+    family = np.array([FAMILY_OF.get(lang, "-" + lang) for lang in langs])
+    names = sorted(set(langs))
+    paired = len({FAMILY_OF.get(lang, "-" + lang) for lang in names}) <= MANY
     return Model(
-        Pairwise.fit(x, family), {f: Pairwise.fit(x[family == f], y[family == f]) for f in sorted(set(family.tolist()))}
+        Machines.fit(x, family, paired), {f: Machines.fit(x[family == f], y[family == f], True) for f in sorted(set(family.tolist()))}
     )
 
 
 def training_sample(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: Column, per_language: int
-) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled rows of each language, by hash order of the identifier.
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: Column, per_language: int, max_rows: int
+) -> tuple[np.ndarray, list[str]]:
+    """Scaled features and languages of the bounded sample.
 
     A first pass counts labels only, which sets each language's hash threshold
     near the bound; the exact bound is then cut from what passes it.
     """
     labelled = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    spread = F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample"))
-    counts = dict(labelled.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.desc("count")).limit(500).collect())
-    rows: list[tuple[str, str]] = []
-    if not counts:
-        return rows
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, 1.5 * per_language / n + 1e-6))) for k, n in sorted(counts.items())])
-    unit = (spread.cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    for lang, text, _, _ in (
-        labelled.where(unit <= share)
-        .select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"), spread.alias("h"), F.col(id_col).cast("string").alias("i"))
-        .orderBy("h", "i")
-        .limit(2 * per_language * len(counts))
-        .collect()
-    ):
-        if counts.get(lang) is not None:
-            rows.append((lang, text))
-    seen: dict[str, int] = {}
-    out = []
-    for lang, text in rows:
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= per_language:
-            out.append((lang, text))
-    return out
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("i"))
+    sizes = labelled.groupBy("lang").count().limit(max_rows + 1).collect()
+    if len(sizes) > max_rows:
+        raise ValueError(f"over {max_rows} languages to learn; use fewer or raise max_rows")
+    if not sizes:
+        return np.empty((0, DIM), np.float32), []
+    quota = max(1, min(per_language, max_rows // len(sizes)))
+    share = docs.sparkSession.createDataFrame([(r[0], min(1.0, 1.5 * quota / r[1] + 8 / r[1])) for r in sizes], "l string, share double")
+    near = labelled.withColumn("h", F.xxhash64("i", "text", F.lit("language sample")))
+    # the size is proven: at most max_rows languages
+    near = near.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) <= F.col("share"))
+    first = W.partitionBy("lang").orderBy("h", "i", "text")
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= quota).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, where, what = [], [], []
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                counts = features(text.as_py())
+                if counts is not None:
+                    some = np.flatnonzero(counts)
+                    langs.append(lang.as_py())
+                    where.append(some.astype(np.uint16).tobytes())
+                    what.append(_scaled(counts)[some].astype(np.float16).tobytes())
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(where, pa.binary()), pa.array(what, pa.binary())], ["lang", "at", "x"])
+
+    got = sorted(tuple(r) for r in chosen.mapInArrow(run, "lang string, at binary, x binary").collect())
+    x = np.zeros((len(got), DIM), np.float32)
+    for row, (_, where, what) in zip(x, got, strict=True):
+        row[np.frombuffer(where, np.uint16)] = np.frombuffer(what, np.float16)
+    return x, [lang for lang, _, _ in got]
 
 
 def learn(
@@ -198,10 +234,11 @@ def learn(
     lang_col: str = "lang",
     learn_from: Column | None = None,
     per_language: int = 500,
+    max_rows: int = 4000,
 ) -> Model | None:
     """The model of a sample of the labelled rows; ``learn_from``: rows that may be learned from."""
-    sample = training_sample(docs, id_col, text_col, lang_col, F.lit(True) if learn_from is None else learn_from, per_language)
-    return train([t for _, t in sample], [lang for lang, _ in sample])
+    rows = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    return train(*training_sample(docs, id_col, text_col, lang_col, rows, per_language, max_rows))
 
 
 def identify(
@@ -211,12 +248,13 @@ def identify(
     lang_col: str = "lang",
     learn_from: Column | None = None,
     per_language: int = 500,
+    max_rows: int = 4000,
 ) -> DataFrame:
     """One row per document: doc_id, lang_pred, score.
 
     ``learn_from`` says which rows may be learned from (default: all with a label).
     """
-    return predict(docs, learn(docs, id_col, text_col, lang_col, learn_from, per_language), id_col, text_col)
+    return predict(docs, learn(docs, id_col, text_col, lang_col, learn_from, per_language, max_rows), id_col, text_col)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,8 +284,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def language_filter(docs: DataFrame, id_col: str = "doc_id", min_score: float = 0.25, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without rows of no recognisable language (``und``, or a score under ``min_score``); columns unchanged.
 
-    No winner's score is under 0.25, so the default rejects ``und`` only: letter
-    junk and texts in languages never learned stay.
+    With duels at both levels no winner's score is under 0.25, so the default
+    rejects ``und`` only: letter junk and texts in languages never learned stay.
+    Null and letterless texts go; an empty table gives an empty result.
     Each row is judged by its own text, whatever its id: rows with null or
     repeated ids stay or go one by one, and repeated rows share their fate.
     """
