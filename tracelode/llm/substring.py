@@ -11,15 +11,19 @@ document alone has cannot hold a shared window, so its runs stay at home; equal
 packed strings are merged map-side before they move (a group of copies becomes
 one row); and a bucket with over ``crowd`` different strings (the edges of a
 passage that very many documents share) is dealt anew, each window to a bucket
-of its own hash.  No bucket therefore holds more than ``crowd`` strings.
+of its own hash.  No bucket therefore holds more than ``crowd`` strings.  A run
+is cut after ``_RUN`` windows, so a text of few different words, which may have
+one minimiser throughout, does not travel as one string.
 
 A word is removed if a window that covers it also starts in a document with a
 smaller id.  Windows are judged on the input, not on what is left.
 
 Defined results: a null text has no words; texts of fewer than ``window``
 words lose nothing; a row with a null id loses nothing and takes nothing from
-others; rows that repeat an id are one document; very long texts are read
-whole; an empty table gives an empty result; other columns are ignored.
+others; rows that share an id are one document, so they do not cut each other,
+but each loses what its own text has in common with a smaller document; very
+long texts are read whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _R, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _R_INV, _Q_INV = pow(_R, -1, 1 << 64), pow(_Q, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Windows that a run holds at most.
+_RUN = 64
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -89,7 +95,13 @@ def runs(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
     if done < width:
         least = np.minimum(least[: -(width - done)], least[width - done :])
     cuts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return least[cuts].view(np.int64), cuts, np.diff(np.append(cuts, n))
+    sizes = np.diff(np.append(cuts, n))
+    if (sizes > _RUN).any():
+        parts = -(-sizes // _RUN)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        cuts = np.repeat(cuts, parts) + _RUN * within
+        sizes = np.diff(np.append(cuts, n))
+    return least[cuts].view(np.int64), cuts, sizes
 
 
 def window_key(packed: bytes) -> int:
@@ -113,12 +125,12 @@ def _kind(rows: DataFrame) -> str:
 
 
 def _super_kmers(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(bucket, packed, id, start) of the runs whose minimiser is in the row's ``ms``."""
+    """(id, key, bucket, packed, start) of the runs whose minimiser is in the row's ``ms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, bucket, packed, start = [], [], [], []
-            for k, (text, ms) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+            for k, (text, ms) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 m, first, count = runs(text.as_py() or b"", window, gram)
                 hit = np.flatnonzero(np.isin(m, ms.values.to_numpy()))
                 words = (text.as_py() or b"").split()
@@ -129,11 +141,11 @@ def _super_kmers(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     packed.append(b" ".join(words[s : s + int(count[h]) + window - 1]))
                     start.append(s)
             yield pa.record_batch(
-                [b.column(0).take(pa.array(owner, pa.int64())), pa.array(bucket, pa.int64()), pa.array(packed, pa.binary()), pa.array(start, pa.int32())],
-                ["id", "bucket", "packed", "start"],
+                [*(b.column(k).take(pa.array(owner, pa.int64())) for k in (0, 1)), pa.array(bucket, pa.int64()), pa.array(packed, pa.binary()), pa.array(start, pa.int32())],
+                ["id", "key", "bucket", "packed", "start"],
             )
 
-    return rows.mapInArrow(run, f"id {_kind(rows)}, bucket bigint, packed binary, start int")
+    return rows.mapInArrow(run, f"id {_kind(rows)}, key bigint, bucket bigint, packed binary, start int")
 
 
 def _cut(occurrences: DataFrame, window: int) -> DataFrame:
@@ -151,11 +163,11 @@ def _cut(occurrences: DataFrame, window: int) -> DataFrame:
                     packed += [b" ".join(words[i : i + window]) for i in range(n)]
                     start += range(s, s + n)
                 yield pa.record_batch(
-                    [part.column("id").take(pa.array(owner, pa.int64())), pa.array([window_key(p) for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(start, pa.int32())],
-                    ["id", "bucket", "packed", "start"],
+                    [*(part.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "key")), pa.array([window_key(p) for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(start, pa.int32())],
+                    ["id", "key", "bucket", "packed", "start"],
                 )
 
-    return occurrences.mapInArrow(run, f"id {_kind(occurrences)}, bucket bigint, packed binary, start int")
+    return occurrences.mapInArrow(run, f"id {_kind(occurrences)}, key bigint, bucket bigint, packed binary, start int")
 
 
 def _count(distinct: DataFrame, window: int) -> DataFrame:
@@ -220,13 +232,12 @@ def _count(distinct: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, crowd: int) -> DataFrame:
-    """(id, windows): the numbers of a document's windows that also start in a smaller document."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    rows = rows.where("id IS NOT NULL AND text IS NOT NULL")
-    picks = materialize(_picks(rows, window, gram), "minimisers", release=True)
+    """(id, key, windows): the numbers of a text's windows that also start in a smaller document; key: the text's."""
+    rows = _rows(docs, id_col, text_col).where("id IS NOT NULL AND text IS NOT NULL")
+    picks = materialize(_picks(rows.select("id", "text"), window, gram), "minimisers", release=True)
     shared = picks.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     wanted = picks.join(shared.select("m"), "m").groupBy("id").agg(F.collect_list("m").alias("ms"))
-    chosen = rows.join(wanted.withColumnRenamed("id", "wid"), F.col("id") == F.col("wid")).select("id", "text", "ms")
+    chosen = rows.join(wanted.withColumnRenamed("id", "wid"), F.col("id") == F.col("wid")).select("id", "key", "text", "ms")
     occurrences = materialize(_super_kmers(chosen, window, gram), "super-kmers", release=True)
     distinct = _merged(occurrences)
     crowded = distinct.groupBy("bucket").count().where(F.col("count") > crowd).select(F.col("bucket").alias("cb"))
@@ -240,11 +251,18 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, g
     firsts = _count(distinct, window).select(F.col("bucket").alias("fb"), F.col("packed").alias("fp"), "firsts")
     lost = occurrences.join(firsts, (F.col("bucket") == F.col("fb")) & (F.col("packed") == F.col("fp"))).select(
         "id",
+        "key",
         F.filter(
             F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()
         ).alias("w"),
     )
-    return lost.where(F.size("w") > 0).groupBy("id").agg(F.flatten(F.collect_list("w")).alias("windows"))
+    return lost.where(F.size("w") > 0).groupBy("id", "key").agg(F.flatten(F.collect_list("w")).alias("windows"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text): the key tells the texts of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
 
 
 def _merged(occurrences: DataFrame) -> DataFrame:
@@ -265,9 +283,9 @@ def substring_dedup(
     """
     # written first, so that its shuffles are gone before the texts are dealt
     lost = materialize(repeated_windows(docs, id_col, text_col, window, gram, crowd), "lost-windows", release=True)
-    lost = lost.withColumnRenamed("id", "lid")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    both = rows.join(lost, F.col("id") == F.col("lid"), "left").select("id", "text", "windows")
+    lost = lost.withColumnsRenamed({"id": "lid", "key": "lkey"})
+    rows = _rows(docs, id_col, text_col)
+    both = rows.join(lost, F.expr("id = lid AND key = lkey"), "left").select("id", "text", "windows")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
