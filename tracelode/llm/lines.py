@@ -19,9 +19,9 @@ Only hashes travel: a line or window is 16 bytes, a pair two arrays of them.
 
 Defined results: a null or empty text has no lines; lines are compared
 without outer white space; a row with a null id is neither cut nor a reason to
-cut; rows that repeat an id are one document; a document never loses a line to
-itself; very long texts are read whole; an empty table gives an empty result;
-other columns are ignored.
+cut; rows that share an id are one document, which never loses a line to
+itself, but each is cut by its own text; very long texts are read whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,41 +116,44 @@ def common_blocks(earlier: list[bytes], later: list[bytes], words: list[int], mi
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """(id, lines, words): hash and word count of each line that is not blank."""
+    """(id, key, lines, words): hash and word count of each line that is not blank; key: the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 lines, words = [], []
-                for t in b.column(1):
+                for t in b.column(2):
                     kept = [s for x in split_lines(t.as_py() or b"") if (s := x.strip())]
                     lines.append([xxhash.xxh3_128_digest(s) for s in kept])
                     words.append([len(s.split()) for s in kept])
-                yield pa.record_batch([b.column(0), pa.array(lines, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32()))], ["id", "lines", "words"])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32()))], ["id", "key", "lines", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lines array<binary>, words array<int>")
+    return rows.mapInArrow(run, f"id {kind}, key bigint, lines array<binary>, words array<int>")
 
 
 def overlapping_pairs(sketches: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """(first, later): documents to align."""
+    """(first, first_key, later, later_key): texts to align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 keys, owner = [], []
-                for k, (lines, words) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                for k, (lines, words) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                     mine = windows(lines.as_py(), words.as_py(), min_lines, min_words)
                     keys += mine
                     owner += [k] * len(mine)
-                yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary())], ["id", "window"])
+                at = pa.array(owner, pa.int64())
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.binary())], ["id", "key", "window"])
 
     kind = sketches.schema["id"].dataType.simpleString()
-    held = sketches.select("id", "lines", "words").mapInArrow(run, f"id {kind}, window binary")
-    stats = held.groupBy("window").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df")
-    return held.join(stats, "window").where("id > first").select("first", F.col("id").alias("later")).distinct()
+    held = sketches.select("id", "key", "lines", "words").mapInArrow(run, f"id {kind}, key bigint, window binary")
+    first = F.min(F.struct("id", "key")).alias("first")
+    stats = held.groupBy("window").agg(first, F.count("*").alias("df")).where("df > 1").drop("df")
+    both = held.join(stats, "window").where("id > first.id")
+    return both.select(F.col("first.id").alias("first"), F.col("first.key").alias("first_key"), F.col("id").alias("later"), F.col("key").alias("later_key")).distinct()
 
 
 def line_dedup(
@@ -161,17 +164,19 @@ def line_dedup(
     min_words: int = 8,
 ) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (of lines not blank), n_partners, kept (the remaining text)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     named = rows.where("id IS NOT NULL AND text IS NOT NULL")
-    sketches = materialize(_sketches(named).dropDuplicates(["id"]), "line-sketches")
+    # rows of one id and text have one sketch
+    sketches = materialize(_sketches(named).dropDuplicates(["id", "key"]), "line-sketches")
     pairs = overlapping_pairs(sketches, min_lines, min_words)
-    early = sketches.select(F.col("id").alias("eid"), F.col("lines").alias("early"))
-    late = sketches.select(F.col("id").alias("lid"), F.col("lines").alias("late"), "words")
+    early = sketches.select(F.col("id").alias("eid"), F.col("key").alias("ekey"), F.col("lines").alias("early"))
+    late = sketches.select(F.col("id").alias("lid"), F.col("key").alias("lkey"), F.col("lines").alias("late"), "words")
     aligned = (
-        pairs.join(late, F.col("later") == F.col("lid"))
-        .join(early, F.col("first") == F.col("eid"))
-        .select(F.col("later").alias("id"), "early", "late", "words")
+        pairs.join(late, F.expr("later = lid AND later_key = lkey"))
+        .join(early, F.expr("first = eid AND first_key = ekey"))
+        .select(F.col("later").alias("id"), F.col("later_key").alias("key"), "early", "late", "words")
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +184,16 @@ def line_dedup(
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 gone = []
-                for e, lt, w in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+                for e, lt, w in zip(*(b.column(k) for k in (2, 3, 4)), strict=True):
                     blocks = common_blocks(e.as_py(), lt.as_py(), w.as_py(), min_lines, min_words)
                     gone.append(sorted({k for s, t in blocks for k in range(s, t)}))
-                yield pa.record_batch([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["id", "gone"])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "key", "gone"])
 
-    cuts = aligned.mapInArrow(align, f"id {kind}, gone array<int>").where(F.size("gone") > 0)
-    cuts = cuts.groupBy("id").agg(
+    cuts = aligned.mapInArrow(align, f"id {kind}, key bigint, gone array<int>").where(F.size("gone") > 0)
+    cuts = cuts.groupBy(F.col("id").alias("cid"), F.col("key").alias("ckey")).agg(
         F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count("*").alias("n_partners")
     )
-    both = rows.join(cuts.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select(
+    both = rows.join(cuts, F.expr("id = cid AND key = ckey"), "left").select(
         "id", "text", "gone", F.coalesce("n_partners", F.lit(0)).alias("n_partners")
     )
 
