@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch
+
+__all__ = ["connected_components", "materialize", "prefix", "scratch", "text_key", "text_or_empty"]
+
 
 def prefix(df: DataFrame) -> str:
     """A start for the names of helper columns that no column of ``df`` has."""
@@ -17,46 +18,6 @@ def prefix(df: DataFrame) -> str:
     return p
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) is a temporary folder made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    here = spark.sparkContext.getCheckpointDir()
-    if here is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-"))
-        here = spark.sparkContext.getCheckpointDir()
-    return here.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is created."""
-    return f"{shared_dir(spark)}/tracelode/{label}-{uuid.uuid4().hex}"
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The result has no lineage into ``df``: a lost executor costs a re-read.
-    With ``release`` the shuffle files of the write go as soon as it ends,
-    as nothing reads them again, rather than when the driver next collects garbage.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true" if release else before)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -80,7 +41,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    seen = None
     for _ in range(max_rounds):
         # large star: neighbours above a node link to the least of its neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -90,11 +50,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         up = materialize(up.distinct(), "cc-large")
         low = up.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         down = up.join(low, up.u == low.n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, size = now, now.count()
         now = materialize(down.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "cc-small")
-        sign = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if sign == seen:
+        if now.count() == size and now.join(before, ["u", "v"], "left_anti").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select("v", "v").distinct()
             )
-        seen = sign
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

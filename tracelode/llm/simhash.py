@@ -8,7 +8,8 @@ for every choice of that many blocks; within a bucket the Hamming distances
 are verified and a spanning forest of the links is kept (never all pairs).
 With six blocks and distance 3 a bucket key holds 31 to 33 bits, so chance
 meetings stay rare at billions of documents.  Bucket rows are 16 bytes for
-each distinct fingerprint; copies do not reach them.
+each distinct fingerprint; copies do not reach them.  A crowded bucket is split
+once more by the same rule on its remaining bits.
 
 Defined results: a null or wordless text has fingerprint zero and is linked
 like any other; a row with a null id gets its fingerprint and the component's
@@ -75,13 +76,40 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links within one bucket of distinct fingerprints.
+#: Distinct fingerprints of a bucket beyond which it is split again.
+CROWD = 2048
+
+
+def _signed(mask: int) -> np.int64:
+    return np.int64(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def forest(fps: np.ndarray, distance: int, agreed: int = 0) -> tuple[list[int], list[int]]:
+    """Links within one bucket of distinct fingerprints that connect all linked ones.
 
     Breadth first: what is reached leaves the candidates at once, so a dense
-    bucket costs little more than its size.
+    bucket costs little more than its size.  A bucket over ``CROWD`` is split
+    by pigeonhole again: its fingerprints are equal on the bits of ``agreed``,
+    so of ``distance + 1`` parts of the others a linked pair has one in common.
     """
-    left, a, b = fps, [], []
+    a, b = [], []
+    if len(fps) > CROWD:
+        free = [k for k in range(64) if not agreed >> k & 1]
+        if len(free) <= distance:
+            return [int(fps[0])] * (len(fps) - 1), fps[1:].tolist()
+        for part in range(distance + 1):
+            mask = sum(1 << k for k in free[part :: distance + 1])
+            key = fps & _signed(mask)
+            order = np.argsort(key, kind="stable")
+            mine, key = fps[order], key[order]
+            ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+            starts = np.append(0, ends[:-1])
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                x, y = forest(mine[s:e], distance, agreed | mask)
+                a += x
+                b += y
+        return a, b
+    left = fps
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -110,28 +138,40 @@ def links(classes: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     # a bucket of one cannot hold a link
     dealt = spread.repartition("k", "block").sortWithinPartitions("k", "block")
 
+    masks = [m % (1 << 64) for m in _masks(blocks, distance)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+        # the bucket that may go on in the next batch
+        now, parts = None, []
 
-        def edges(k, block, fp, cuts):
+        def edges(buckets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
             a, b = [], []
-            ends = np.append(cuts[1:], len(fp))
-            for s, e in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1], strict=True):
-                x, y = forest(fp[s:e], distance)
+            for k, fps in buckets:
+                x, y = forest(fps, distance, masks[k])
                 a += x
                 b += y
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            k, block, fp = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True))
-            if not len(fp):
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (block[1:] != block[:-1])))
-            last = cuts[-1]
-            yield edges(k[:last], block[:last], fp[:last], cuts[:-1])
-            rest = (k[last:], block[last:], fp[last:])
-        if len(rest[2]):
-            yield edges(*rest, np.zeros(1, np.int64))
+            k, block, fp = (c.to_numpy() for c in batch.columns)
+            starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (block[1:] != block[:-1])))
+            ends = np.append(starts[1:], len(fp))
+            done = []
+            if now == (k[0], block[0]):
+                parts.append(fp[: ends[0]])
+                starts, ends = starts[1:], ends[1:]
+            if len(starts):
+                if parts:
+                    done.append((int(now[0]), np.concatenate(parts)))
+                for s, e in zip(starts[:-1], ends[:-1], strict=True):
+                    if e - s > 1:
+                        done.append((int(k[s]), fp[s:e]))
+                now, parts = (k[-1], block[-1]), [fp[starts[-1] :]]
+            yield edges(done)
+        if parts:
+            yield edges([(int(now[0]), np.concatenate(parts))])
 
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
