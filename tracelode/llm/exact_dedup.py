@@ -8,13 +8,17 @@ byte by byte against the row that stays; rows of a digest collision are
 grouped anew by their full text.
 
 Defined results: a null text counts as empty; rows with a null id take part
-and sort after all other ids; a repeated (id, text) row is a member like any
-other, counts in ``group_size``, and ``exact_dedup_filter`` keeps one of them;
-an empty table gives an empty result; other input columns are not looked at.
+and sort after all other ids; a repeated row is a member like any other and
+counts in ``group_size``; of rows that share the id which stays, all are
+``kept``, and ``exact_dedup_filter`` keeps the one with the most code points,
+then the least text; very long texts are read whole; an empty table gives an
+empty result; other input columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,8 +77,12 @@ def _stream_state(spool: DataFrame, spool_dir: str, state_dir: str) -> DataFrame
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def sha256(squeezed_text: Column) -> Column:
+    return F.sha2(squeezed_text.cast("binary"), 256)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (the digest).
 
     Equal texts are those identical after deleting white space; of them the
     row with the most code points in the original, then the smallest id, stays.
@@ -85,7 +93,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spool_dir, state_dir = scratch(spark, "dedup-spool"), scratch(spark, "dedup-state")
     # rank: what the state keeps the least of; its id is also the locator of the content
     rows.select(
-        F.sha2(squeezed(F.col("text")).cast("binary"), 256).alias("digest"),
+        digest(squeezed(F.col("text"))).alias("digest"),
         F.struct((-size).alias("neg_size"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")).alias("rank"),
     ).write.parquet(spool_dir)
     spool = spark.read.parquet(spool_dir)
@@ -101,10 +109,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = hits.join(rows.select(F.col("id").alias("rid"), "text"), F.expr("id <=> rid")).select(
         "id", "keep_id", "digest", squeezed(F.col("text")).alias("bytes")
     )
-    body = body.where(F.sha2(F.col("bytes").cast("binary"), 256) == F.col("digest"))  # an id may repeat with other text
+    body = body.where(digest(F.col("bytes")) == F.col("digest"))  # an id may repeat with other text
     kept = body.where("id <=> keep_id").select(F.col("digest").alias("kd"), F.col("bytes").alias("kept_bytes"))
     odd = materialize(
-        body.join(kept, F.col("digest") == F.col("kd")).where("bytes <> kept_bytes").select("id", "digest", "bytes"),
+        body.join(kept, F.col("digest") == F.col("kd")).where("bytes <> kept_bytes").select("id", "digest", "bytes").distinct(),
         "dedup-collisions",
     )
     if not odd.isEmpty():
@@ -121,7 +129,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _regroup(found: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
     """``found`` with the rows of ``odd`` (same digest, other bytes) in groups of their own."""
     size = F.length(F.coalesce("text", F.lit("")))
-    full = odd.join(rows.select(F.col("id").alias("rid"), "text"), F.expr("id <=> rid"))
+    full = odd.join(rows.select(F.col("id").alias("rid"), "text"), F.expr("id <=> rid")).where(squeezed(F.col("text")) == F.col("bytes"))
     groups = full.groupBy("digest", "bytes").agg(
         F.min(F.struct((-size).alias("s"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))).alias("best"),
         F.count("*").alias("n"),
@@ -129,7 +137,7 @@ def _regroup(found: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
     moved = odd.join(groups, ["digest", "bytes"]).select(
         F.col("id").alias("mid"), F.col("digest").alias("md"), F.col("best.id").alias("mkeep"), F.col("n").alias("mn")
     )
-    gone = odd.groupBy(F.col("digest").alias("gd")).agg(F.count("*").alias("gn"))
+    gone = groups.groupBy(F.col("digest").alias("gd")).agg(F.sum("n").alias("gn"))
     return (
         found.join(moved, F.expr("id <=> mid AND digest = md"), "left")
         .join(gone, F.col("digest") == F.col("gd"), "left")
@@ -143,13 +151,18 @@ def _regroup(found: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; columns unchanged."""
+    """``docs`` with one row of each group of equal texts; columns unchanged.
+
+    It is the row of the most code points, then of the least id (null last),
+    then of the least text; of rows that are the same in these any one.  Null
+    and blank texts are one group; an empty table gives an empty result.
+    """
     p = prefix(docs)
     keep = exact_groups(docs, id_col, text_col).where("kept")
     keep = keep.select(F.col("doc_id").alias(p + "id"), F.col("text_sha256").alias(p + "digest")).distinct()
-    digest = F.sha2(squeezed(docs[text_col]).cast("binary"), 256)
-    joined = docs.withColumn(p + "own", digest).join(
+    joined = docs.withColumn(p + "own", sha256(squeezed(docs[text_col]))).join(
         keep, F.expr(f"`{id_col}` <=> {p}id AND {p}own = {p}digest")
     )
-    once = W.partitionBy(p + "id", p + "digest").orderBy(p + "digest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    once = W.partitionBy(p + "id", p + "digest").orderBy(F.length(text).desc(), text)
     return joined.withColumn(p + "n", F.row_number().over(once)).where(F.col(p + "n") == 1).select(*docs.columns)
