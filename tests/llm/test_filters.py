@@ -1,6 +1,8 @@
 """The pipeline's filters on rows with null and repeated ids and different texts."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelode.llm import decontam, language, simhash
 
@@ -51,3 +53,38 @@ def test_decontaminate_drops_rows_with_any_full_window(spark):
         (3, f"{long} only four words here"), (4, "Only four words here!"), (5, long),
     ]
     assert [i for i, _ in texts(decontam.decontaminate(table(spark, rows), bench))] == [2, 3, 5]
+
+
+def test_crowded_buckets_are_split(monkeypatch):
+    """Links of a bucket over the bound connect what all links connect."""
+    rng = np.random.default_rng(3)
+    agreed = (1 << 64) - 1 ^ ((1 << 30) - 1)
+    centres = rng.integers(0, 1 << 30, 150)
+    fps = np.unique(np.concatenate([centres ^ (1 << rng.integers(0, 30, 150)) ^ (1 << rng.integers(0, 30, 150)) for _ in range(4)])).astype(np.int64)
+
+    def classes(links):
+        up = {int(f): int(f) for f in fps}
+
+        def top(f):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for a, b in zip(*links, strict=True):
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return {f: top(f) for f in up}
+
+    every = [(int(a), int(b)) for a in fps for b in fps if a < b and int(a ^ b).bit_count() <= 3]
+    want = classes(zip(*every, strict=True))
+    assert classes(simhash.forest(fps, 3)) == want
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    assert classes(simhash.forest(fps, 3, agreed)) == want and len(set(want.values())) < len(fps)
+
+
+def test_mixing_draws_rows_without_id_one_by_one(spark):
+    from tracelode.llm import mixing
+
+    rows = [(None, f"text {k} of many rows without id") for k in range(400)] + [(1, f"again {k}") for k in range(400)]
+    got = mixing.mix_filter(table(spark, rows).withColumn("source", F.lit("web")))
+    counts = dict(got.groupBy("doc_id").count().collect())
+    assert 120 < counts[None] < 280 and 120 < counts[1] < 280

@@ -20,7 +20,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     found = language.identify(docs, learn_from=~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -102,6 +102,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), win AS (
+            SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS body
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50)
+        ), firsts AS (
+            SELECT body, min(doc_id) AS least FROM win GROUP BY body
+        ), lost AS (
+            SELECT DISTINCT doc_id, s FROM win JOIN firsts USING (body) WHERE least < doc_id
+        ), places AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+        ), flagged AS (
+            SELECT places.doc_id, p, word, max(CASE WHEN s IS NULL THEN 0 ELSE 1 END)
+                OVER (PARTITION BY places.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM places LEFT JOIN lost ON places.doc_id = lost.doc_id AND p = s
+        ), summed AS (
+            SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept
+            FROM flagged GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN summed USING (doc_id)
+    """,
+    "op6_decontamination": r"""
+        WITH b AS (
+            SELECT item_id, words, least(13, len(words)) AS size FROM (
+                SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+                FROM benchmark
+            ) WHERE len(words) > 0
+        ), keys AS (
+            SELECT DISTINCT item_id, size, array_to_string(words[s:s + size - 1], ' ') AS body
+            FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS s FROM b)
+        ), d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), win AS (
+            SELECT doc_id, size, s, array_to_string(words[s:s + size - 1], ' ') AS body
+            FROM (
+                SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s
+                FROM d JOIN (SELECT DISTINCT size FROM keys) ON size <= len(words)
+            )
+        ), hits AS (
+            SELECT doc_id, item_id, size, s FROM win JOIN keys USING (size, body)
+        ), words_hit AS (
+            SELECT doc_id, count(*) AS n_hit
+            FROM (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(list, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op8_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), numbered AS (
+            SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+                length(role || text) + length(regexp_replace(role || text, '[^\\<\[\]]', '', 'g')) + length('<s>[' || ']' || '</s>') + 2 AS size
+            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), summed AS (
+            SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM numbered
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+        FROM summed GROUP BY conv_id
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
