@@ -42,3 +42,24 @@ def test_all_pairs(spark, min_lines):
     pool = [f"short {k}" for k in range(12)] + [f"line {k} has quite enough words to go alone" for k in range(4)]
     docs = {i: "\n".join(draw.choice([*pool, f"own {i} {draw.random()}", "", " "]) for _ in range(draw.randrange(14))) for i in range(120)}
     assert found(spark, docs, min_lines=min_lines) == brute(docs, min_lines, 8)
+
+
+def test_registered_query_on_the_whole_table(spark):
+    """Texts of the small table, kept lines and blank ones included."""
+    import hashlib
+
+    import pandas as pd
+
+    from tracelode.llm.queries import QUERIES
+
+    d = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = {int(i): t if isinstance(t, str) else "" for i, t in zip(d.doc_id, d.text, strict=True)}
+    want = brute(docs, 2, 8)
+    got = {r.doc_id: r for r in QUERIES["op9_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        n, n_gone, kept = want[i]
+        assert (got[i].n_lines, got[i].n_removed, got[i].n_partners > 0) == (n, n_gone, n_gone > 0)
+        if not n_gone:
+            assert got[i].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert sum(r.n_removed for r in got.values()) > 0
