@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from .api import Daemon, Dataset, system_info
 from .blueprint import PRESETS, Blueprint
@@ -99,11 +100,14 @@ def main(argv: list[str] | None = None) -> int:
     data = Dataset(spark, a.path, options, blueprint)
     picks = {"filter_text": getattr(a, "filter", None), "regex": getattr(a, "regex", None)}
     if a.verb == "analyze":
+        began = time.perf_counter()
         saved = ProfileStore(a.profile).get("default") if a.profile else None
         level = (saved or AnalysisProfile()).over(level=a.level).level
         out = data.analyze(level, **picks)
         if a.history:
             history.record(out, a.history, a.path)
+            m = data.metadata().first()
+            history.log_telemetry(spark, a.history + "-telemetry", a.path, int(m.total_mib * 2**20), m.total_rows, time.perf_counter() - began)
     elif a.verb == "daemon":
         daemon = Daemon(data)
         for line in sys.stdin:

@@ -318,6 +318,14 @@ def scan_history(spark, sf_dir):
     return _rows(spark, out + state("after", kept, ["b"]), "at string, source string, scans int, latest_count bigint")
 
 
+@query("SELECT * FROM (VALUES ('big.csv', '2000000000', '4.0', '500.0'), ('huge.csv', '3000000000', '1.5', '2000.0')) AS t(source, bytes, seconds, mb_per_s)")
+def telemetry_log(spark, sf_dir):
+    path = scratch(spark, "telemetry")
+    for source, size, seconds in (("big.csv", 2 * 10**9, 4.0), ("small.csv", 10**6, 1.0), ("huge.csv", 3 * 10**9, 1.5)):
+        history.log_telemetry(spark, path, source, size, 1000, seconds)
+    return spark.read.csv(path, header=True).select("source", "bytes", "seconds", "mb_per_s")
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 _CELLS = ["1", " 2.5 ", "-3e2", "", " ", "12abc", "1,234", "+7", ".5", "1.0d", "NaN", None, '"4"', "1e5x", "0x10", "- 1"]

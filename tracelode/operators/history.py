@@ -67,3 +67,17 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     both = side(a, "a").join(side(b, "b"), F.col("column_a") == F.col("column_b"), "full")
     status = F.when(F.col("column_b").isNull(), "OnlyInA").when(F.col("column_a").isNull(), "OnlyInB").otherwise("Changed")
     return both.select(F.coalesce("column_a", "column_b").alias("column"), status.alias("status"), *[c for c in both.columns if not c.startswith("column_")]).orderBy("column")
+
+
+#: Bytes of a source from which scans are logged.
+LARGE = 1_000_000_000
+
+
+def log_telemetry(spark: SparkSession, path: str, source: str, size: int, rows: int, seconds: float, least: int = LARGE) -> bool:
+    """Append a scan's rate to the CSV table at ``path`` if the source has ``least`` bytes; returns whether it did."""
+    if size < least:
+        return False
+    row = [(source, size, rows, round(seconds, 3), round(size / 1e6 / max(seconds, 1e-9), 3), round(rows / max(seconds, 1e-9), 1))]
+    log = spark.createDataFrame(row, "source string, bytes bigint, rows bigint, seconds double, mb_per_s double, rows_per_s double")
+    log.withColumn("logged_at", F.current_timestamp()).coalesce(1).write.mode("append").csv(path, header=True)
+    return True

@@ -12,6 +12,8 @@ from ..operators.ioc import report_lines
 from ..plans.predicate import select_rows
 
 BLOCK = 64 << 20
+#: Rows whose offsets are summed in one task.
+STRETCH = 1 << 20
 
 
 def export_csv(df: DataFrame, path: str, order: str | None = None, single: bool = False, **predicates) -> None:
@@ -51,9 +53,16 @@ def row_index(lines: DataFrame) -> DataFrame:
     """(file, row_idx, offset, length): where each line lies, for lines that end in one byte."""
     from pyspark.sql import Window as W
 
-    size = F.octet_length("line")
-    before = F.sum(size + 1).over(W.partitionBy("file").orderBy("row_idx").rowsBetween(W.unboundedPreceding, -1))
-    return lines.select("file", "row_idx", F.coalesce(before, F.lit(0)).alias("offset"), size.alias("length"))
+    rows = lines.select("file", "row_idx", F.octet_length("line").cast("long").alias("length"))
+    # sums within stretches of rows, and before each stretch: no file passes through one task
+    rows = rows.withColumn("__s", F.floor(F.col("row_idx") / F.lit(STRETCH)))
+    sums = rows.groupBy(F.col("file").alias("__f"), F.col("__s").alias("__t")).agg(F.sum(F.col("length") + 1).alias("__n"))
+    base = F.sum("__n").over(W.partitionBy("__f").orderBy("__t").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("__f", "__t", F.coalesce(base, F.lit(0)).alias("__base"))
+    own = F.sum(F.col("length") + 1).over(W.partitionBy("file", "__s").orderBy("row_idx").rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("__own", F.coalesce(own, F.lit(0)))
+    both = placed.join(sums, (F.col("file") == F.col("__f")) & (F.col("__s") == F.col("__t")))
+    return both.select("file", "row_idx", (F.col("__base") + F.col("__own")).alias("offset"), "length")
 
 
 def block_hashes(spark: SparkSession, paths: list[str] | str, size: int = BLOCK) -> DataFrame:
