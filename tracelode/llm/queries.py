@@ -191,4 +191,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
     """,
+    "op9_line_dedup": r"""
+        WITH raw AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+        ), cut AS (
+            SELECT doc_id, line, p, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s
+            FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM raw)
+        ), whole AS (
+            SELECT doc_id, p, s, row_number() OVER w AS k, lead(s) OVER w AS later,
+                len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words
+            FROM cut WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+        ), win AS (
+            SELECT doc_id, k, 2 AS size, s || chr(10) || later AS body FROM whole WHERE later IS NOT NULL
+            UNION ALL SELECT doc_id, k, 1, s FROM whole WHERE words >= 8
+        ), firsts AS (
+            SELECT size, body, min(doc_id) AS least FROM win GROUP BY size, body
+        ), hits AS (
+            SELECT doc_id, k, size, least FROM win JOIN firsts USING (size, body) WHERE least < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS k FROM hits
+        ), partners AS (
+            SELECT doc_id, count(DISTINCT least) AS n_partners FROM hits GROUP BY doc_id
+        ), flagged AS (
+            SELECT cut.doc_id, cut.p, cut.line, whole.k IS NOT NULL AS is_line, gone.k IS NOT NULL AS is_gone
+            FROM cut LEFT JOIN whole ON cut.doc_id = whole.doc_id AND cut.p = whole.p
+            LEFT JOIN gone ON whole.doc_id = gone.doc_id AND whole.k = gone.k
+        )
+        SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
+            coalesce(max(n_partners), 0) AS n_partners,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT is_gone), '')) AS kept_sha256
+        FROM flagged LEFT JOIN partners USING (doc_id) GROUP BY doc_id
+    """,
 }
