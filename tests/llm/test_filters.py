@@ -88,3 +88,27 @@ def test_mixing_draws_rows_without_id_one_by_one(spark):
     got = mixing.mix_filter(table(spark, rows).withColumn("source", F.lit("web")))
     counts = dict(got.groupBy("doc_id").count().collect())
     assert 120 < counts[None] < 280 and 120 < counts[1] < 280
+
+
+@pytest.mark.parametrize("bits", [(63,), (63, 0), (63, 62, 61), (0, 31, 32), (63, 40, 2)])
+def test_links_over_any_bits(spark, bits):
+    """The sign bit counts like any other; a fourth bit is one too many."""
+    fps = [0, -1, 0x123456789ABCDEF, -0x123456789ABCDEF]
+    signed = lambda v: (v + (1 << 63)) % (1 << 64) - (1 << 63)
+    near = [signed((f % (1 << 64)) ^ sum(1 << b for b in bits)) for f in fps]
+    far = [signed((f % (1 << 64)) ^ sum(1 << b for b in (63, 50, 20, 10))) for f in fps]
+    table = spark.createDataFrame([(f,) for f in dict.fromkeys(fps + near + far)], "fp bigint")
+    got = {frozenset(r) for r in simhash.links(table).collect()}
+    every = [r.fp for r in table.collect()]
+    want = {frozenset((a, b)) for a in every for b in every if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    assert got <= want and {frozenset(p) for p in zip(fps, near, strict=True)} <= want
+
+    def classes(pairs):
+        up = {f: {f} for f in every}
+        for p in pairs:
+            whole = set().union(*(up[f] for f in p))
+            for f in whole:
+                up[f] = whole
+        return up
+
+    assert classes(got) == classes(want)

@@ -76,6 +76,11 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def differing(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """How many bits differ; unsigned, as the count of a negative number would be that of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 #: Distinct fingerprints of a bucket beyond which it is split again.
 CROWD = 2048
 
@@ -114,7 +119,7 @@ def forest(fps: np.ndarray, distance: int, agreed: int = 0) -> tuple[list[int],
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             top = queue.pop()
-            near = np.bitwise_count(left ^ top) <= distance
+            near = differing(left, top) <= distance
             if near.any():
                 got = left[near]
                 a += [int(top)] * len(got)
