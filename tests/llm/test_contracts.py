@@ -303,6 +303,79 @@ def test_simhash(spark, small, docs):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fp[i]:016x}", comp[i]) for i in docs}
 
 
+def stream(seed, n):
+    """Words of SplitMix64, in plain integers."""
+    full = (1 << 64) - 1
+    for k in range(1, n + 1):
+        z = seed + k * 0x9E3779B97F4A7C15 & full
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & full
+        yield z ^ z >> 31
+
+
+def wide(text, n):
+    """Bits of a wide fingerprint of n 64-bit words; the lowest byte of a word comes first."""
+    w = [x.lower() for x in (text or "").encode().split()]
+    if not w:
+        return [0] * 64 * n
+    grams = [b" ".join(w[k : k + 5]) for k in range(len(w) - 4)] or [b" ".join(w)]
+    counts = [0] * 64 * n
+    for g in grams:
+        for k, z in enumerate(stream(xxhash.xxh64_intdigest(g, seed=42), n)):
+            for j in range(64):
+                counts[64 * k + j] += z >> (j // 8 * 8 + 7 - j % 8) & 1
+    return [int(2 * c > len(grams)) for c in counts]
+
+
+def similar(docs, width, blocks, reach=48):
+    """Components over pairs that share a block and differ in at most ``reach`` of 256 bits; all pairs."""
+    bits = {i: np.array(wide(t, -(-width * blocks // 64)), np.uint8) for i, t in docs.items()}
+    ids = sorted(docs)
+    linked = [
+        (a, b) for k, a in enumerate(ids) for b in ids[:k]
+        if (bits[a][:256] != bits[b][:256]).sum() <= reach and (bits[a][: width * blocks] == bits[b][: width * blocks]).reshape(blocks, width).all(axis=1).any()
+    ]
+    return components(ids, linked)
+
+
+def test_similar_groups_by_brute_force(spark, small, docs):
+    from tracelode.llm import simhash
+
+    some = {i: t for i, t in docs.items() if t is None or len(t) < 1500}
+    base = [t for t in some.values() if t and 80 < len(t.split())][:8]
+    for n, t in enumerate(base):  # near copies with one to eight words changed
+        w = t.split()
+        for c in range(1, 9):
+            some[10_000 + 10 * n + c] = " ".join(f"x{k}" if k % (len(w) // c) == 3 else x for k, x in enumerate(w))
+    table = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    assert simhash.plan(len(some)) == (20, 67)
+    assert got == similar(some, 20, 67)
+    shingles = lambda t: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    close = far = 0
+    for n, t in enumerate(base):
+        own = next(i for i in some if some[i] == t)
+        for c in range(1, 9):
+            a, b = shingles(t.lower()), shingles(some[10_000 + 10 * n + c].lower())
+            if len(a & b) / len(a | b) >= 0.8:
+                close += 1
+                far += got[own] != got[10_000 + 10 * n + c]
+    assert close > 10 and far <= 0.15 * close
+
+
+@pytest.mark.parametrize("n", [1, 10**5, 10**7, 10**10])
+def test_blocks_reach_similar_pairs(n):
+    """The stated probability, by drawing pairs whose bits differ as those of similarity 0.8 do."""
+    from tracelode.llm import simhash
+
+    width, blocks = simhash.plan(n)
+    assert 2**width >= n
+    miss = np.arccos(2 * 0.8 / 1.8) / np.pi
+    rng = np.random.default_rng(5)
+    shared = [(rng.random((blocks, width)) >= miss).all(axis=1).any() for _ in range(2000)]
+    assert np.mean(shared) > 0.9
+
+
 def windowed(text, windows):
     """Whether a full benchmark window of 13 words occurs."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
@@ -311,7 +384,7 @@ def windowed(text, windows):
 
 def test_pipeline_stages_by_brute_force(spark, small):
     """Each stage on its own input: what goes is what the brute-force version drops."""
-    from tracelode.llm import mixing
+    from tracelode.llm import mixing, simhash
     from tracelode.llm.common import materialize
 
     bench = pd.read_parquet(f"{small}/benchmark.parquet").text.dropna()
@@ -333,7 +406,7 @@ def test_pipeline_stages_by_brute_force(spark, small):
         elif name == "exact_dedup":
             assert after == {min(ids, key=lambda i: (-len(before[i] or ""), i)) for ids in exact(before).values()}
         elif name == "near_dedup":
-            assert after == set(near(before)[1].values())
+            assert after == set(similar(before, *simhash.plan(len(before))).values())
         elif name == "decontamination":
             assert after == {i for i, t in before.items() if not windowed(t, windows)} and len(after) < len(before)
         elif name == "mixing":
