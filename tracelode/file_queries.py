@@ -290,7 +290,7 @@ def ingest_progress(spark, sf_dir):
     try:
         append(read_stream(spark, path, spark.read.parquet(path).schema), target, target + "-state").awaitTermination()
         n = spark.read.parquet(target).count()
-        for _ in range(100):  # events reach listeners a little later
+        for _ in range(300):  # events reach listeners a little later
             if seen.rows >= n:
                 break
             sleep(0.1)
