@@ -151,7 +151,8 @@ def overlapping_pairs(sketches: DataFrame, min_lines: int, min_words: int) -> Da
     kind = sketches.schema["id"].dataType.simpleString()
     held = sketches.select("id", "key", "lines", "words").mapInArrow(run, f"id {kind}, key bigint, window binary")
     first = F.min(F.struct("id", "key")).alias("first")
-    stats = held.groupBy("window").agg(first, F.count("*").alias("df")).where("df > 1").drop("df")
+    # written, so that both sides of the join are dealt anew and the holders of a frequent window can be split
+    stats = materialize(held.groupBy("window").agg(first, F.count("*").alias("df")).where("df > 1").drop("df"), "line-windows", release=True)
     both = held.join(stats, "window").where("id > first.id")
     return both.select(F.col("first.id").alias("first"), F.col("first.key").alias("first_key"), F.col("id").alias("later"), F.col("key").alias("later_key")).distinct()
 
