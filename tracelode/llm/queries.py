@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact_dedup, html_text, language, lines, mixing, pii, simhash, substring
+from .simhash_sql import near_groups_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,4 +223,5 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT is_gone), '')) AS kept_sha256
         FROM flagged LEFT JOIN partners USING (doc_id) GROUP BY doc_id
     """,
+    "op10_simhash_near_dedup": near_groups_sql(),
 }
