@@ -112,7 +112,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = body.where(digest(F.col("bytes")) == F.col("digest"))  # an id may repeat with other text
     kept = body.where("id <=> keep_id").select(F.col("digest").alias("kd"), F.col("bytes").alias("kept_bytes"))
     odd = materialize(
-        body.join(kept, F.col("digest") == F.col("kd")).where("bytes <> kept_bytes").select("id", "digest", "bytes").distinct(),
+        body.join(kept, F.col("digest") == F.col("kd")).where("bytes <> kept_bytes").select("id", "digest", "bytes"),
         "dedup-collisions",
     )
     if not odd.isEmpty():
@@ -128,6 +128,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _regroup(found: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
     """``found`` with the rows of ``odd`` (same digest, other bytes) in groups of their own."""
+    odd = odd.distinct()  # here, not on the join, whose frequent digests could not be split then
     size = F.length(F.coalesce("text", F.lit("")))
     full = odd.join(rows.select(F.col("id").alias("rid"), "text"), F.expr("id <=> rid")).where(squeezed(F.col("text")) == F.col("bytes"))
     groups = full.groupBy("digest", "bytes").agg(
