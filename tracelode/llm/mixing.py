@@ -40,7 +40,6 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +55,8 @@ TOLERANCE = 1e-6
 
 #: Dimensions of a text's projection, the length of one, and bytes of a text handled at a time.
 _DIM, _UNIT, _SLICE = 64, 1000, 1 << 20
+#: Rows handled at a time.
+_ROWS = 500
 _SIGNS = 2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) - 1
 
 
@@ -87,12 +88,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.rint(_UNIT * v / np.maximum(length, 1e-9)).astype(np.int64)
 
 
-@F.pandas_udf(StructType([StructField("tokens", LongType()), StructField("vec", BinaryType())]))
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    each = [projection(t) for t in texts]
-    return pd.DataFrame({"tokens": [n for n, _ in each], "vec": [v.astype("<i2").tobytes() if n else None for n, v in each]})
-
-
 def _vectors(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<i2").reshape(-1, _DIM).astype(np.int64)
 
@@ -112,17 +107,26 @@ class Topics:
         """The topic number of each vector: the centre of the largest product, the first of equals."""
         return (self.centred(langs, vectors) @ self.centres.T).argmax(axis=1)
 
-    def column(self, lang: Column, vec: Column) -> Column:
-        @F.pandas_udf(StringType())
-        def name(langs: pd.Series, vecs: pd.Series) -> pd.Series:
-            out = np.full(len(vecs), NONE, object)
-            some = np.flatnonzero(vecs.notna())
-            if len(some):
-                got = self.of(langs.iloc[some].tolist(), _vectors(vecs.iloc[some].tolist()))
-                out[some] = [f"topic{k}" for k in got]
-            return pd.Series(out)
+    def names(self, langs: list[str], vecs: list[bytes | None]) -> list[str]:
+        """The topic of each row; ``(none)`` without words."""
+        some = [k for k, v in enumerate(vecs) if v is not None]
+        out = [NONE] * len(vecs)
+        if some:
+            for k, t in zip(some, self.of([langs[k] for k in some], _vectors([vecs[k] for k in some])), strict=True):
+                out[k] = f"topic{t}"
+        return out
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (lang, vec, ...) with their topic in place of ``topic`` and without ``vec``."""
+        kept = [f for f in rows.schema.fields if f.name not in ("vec", "topic")]
+        names = [f.name for f in kept]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                topics = self.names(b.column("lang").to_pylist(), b.column("vec").to_pylist())
+                yield pa.record_batch([*(b.column(n) for n in names), pa.array(topics, pa.string())], [*names, "topic"])
 
-        return name(lang, vec)
+        return rows.mapInArrow(run, StructType([*kept, StructField("topic", StringType())]))
 
 
 def _sums(sketches: DataFrame, key_type: str, keys_of, at_most: int) -> dict:
@@ -265,36 +269,43 @@ def _label(column: str) -> Column:
 
 @dataclass
 class Mixture:
-    """A fitted mixture: what labels a row, and the cells' weights and probabilities."""
+    """A fitted mixture: the topics (None if the caller gave them), the cells' weights and probabilities, the residual."""
 
-    topic: object  # (lang, vec, given) -> Column
+    topics: Topics | None
     cells: list[tuple]
     residual: float
 
 
 def fit_mixture(rows: DataFrame, given_topic: bool, topics: int, fraction: float, temperature: float, targets, max_cells: int) -> Mixture:
-    """The mixture of ``rows`` (source, lang, tokens, vec and, if given, topic)."""
-    if given_topic:
-        of = lambda lang, vec, topic: topic
-    else:
-        model = fit_topics(rows, topics)
-        of = lambda lang, vec, topic: model.column(lang, vec)
-    labelled = rows.select("source", "lang", of(F.col("lang"), F.col("vec"), F.col("topic")).alias("topic"), "tokens")
-    return Mixture(of, *fit(labelled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), fraction, temperature, targets, max_cells))
+    """The mixture of ``rows`` (source, lang, topic, tokens, vec)."""
+    model = None if given_topic else fit_topics(rows, topics)
+    labelled = (rows if model is None else model.label(rows.select("source", "lang", "tokens", "vec"))).select(*DIMENSIONS, "tokens")
+    return Mixture(model, *fit(labelled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), fraction, temperature, targets, max_cells))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int) -> DataFrame:
-    """(id, source, lang, topic, tokens, vec, u) of every row."""
-    found = _sketch(F.col(text_col).cast("string").cast("binary"))
+    """(id, source, lang, topic, u, tokens, vec) of every row."""
     chosen = F.lit(None).cast("string") if topic is None else F.coalesce(topic.cast("string"), F.lit(NONE))
-    return docs.select(
+    given = docs.select(
         F.col(id_col).alias("id"),
         _label(source_col).alias("source"),
         _label(lang_col).alias("lang"),
         chosen.alias("topic"),
-        found.alias("f"),
         uniform(F.col(id_col), F.col(text_col), seed).alias("u"),
-    ).select("id", "source", "lang", "topic", "f.tokens", "f.vec", "u")
+        F.col(text_col).cast("string").cast("binary").alias("text"),
+    )
+    names = given.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(at, _ROWS)
+                each = [projection(t.as_py()) for t in b.column("text")]
+                tokens = pa.array([n for n, _ in each], pa.int64())
+                vecs = pa.array([v.astype("<i2").tobytes() if n else None for n, v in each], pa.binary())
+                yield pa.record_batch([*(b.column(n) for n in names), tokens, vecs], [*names, "tokens", "vec"])
+
+    return given.mapInArrow(run, StructType([*given.schema.fields[:-1], StructField("tokens", LongType()), StructField("vec", BinaryType())]))
 
 
 def mix(
@@ -317,7 +328,7 @@ def mix(
     weights = docs.sparkSession.createDataFrame(
         fitted.cells, "c_source string, c_lang string, c_topic string, weight double, probability double"
     )
-    labelled = rows.withColumn("topic", fitted.topic(F.col("lang"), F.col("vec"), F.col("topic")))
+    labelled = rows if fitted.topics is None else fitted.topics.label(rows)
     # the size is proven: at most max_cells rows
     joined = labelled.join(
         F.broadcast(weights), (F.col("source") == F.col("c_source")) & (F.col("lang") == F.col("c_lang")) & (F.col("topic") == F.col("c_topic"))
@@ -357,10 +368,30 @@ def mix_filter(
     weights = docs.sparkSession.createDataFrame(
         fitted.cells, f"{p}s string, {p}l string, {p}t string, {p}w double, {p}p double"
     )
-    vec = _sketch(F.col(text_col).cast("string").cast("binary"))["vec"] if topic is None else F.lit(None).cast("binary")
-    chosen = F.lit(None).cast("string") if topic is None else F.coalesce(topic.cast("string"), F.lit(NONE))
-    own = docs.withColumns({p + "1": _label(source_col), p + "2": _label(lang_col), p + "v": vec, p + "g": chosen})
-    own = own.withColumn(p + "3", fitted.topic(F.col(p + "2"), F.col(p + "v"), F.col(p + "g")))
+    own = docs.withColumns({p + "1": _label(source_col), p + "2": _label(lang_col)})
+    if topic is not None:
+        own = own.withColumn(p + "3", F.coalesce(topic.cast("string"), F.lit(NONE)))
+    else:
+        own = _with_topic(own, fitted.topics, text_col, p + "2", p + "3")
     joined = own.join(F.broadcast(weights), F.expr(f"{p}1 = {p}s AND {p}2 = {p}l AND {p}3 = {p}t"))
     taken = joined.where(uniform(F.col(id_col), F.col(text_col), seed) < F.round(p + "p", 9))
-    return taken.select(*docs.columns)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _with_topic(docs: DataFrame, model: Topics, text_col: str, lang_col: str, name: str) -> DataFrame:
+    """``docs`` with the topic of each text; all columns pass through."""
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(at, _ROWS)
+                vecs = []
+                for t in b.column(text):
+                    t = t.as_py()
+                    n, v = projection(t.encode() if isinstance(t, str) else t)
+                    vecs.append(v.astype("<i2").tobytes() if n else None)
+                topics = model.names(b.column(lang).to_pylist(), vecs)
+                yield pa.record_batch([*b.columns, pa.array(topics, pa.string())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
